@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, simhash, token_counts
+from furrow.llm import bpe, mixing, quality_rules, simhash, token_counts
+from furrow.llm.oracles import ORACLES as ORACLES
 
 
 def _tokenizer(name: str) -> str:
@@ -19,6 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the features, base_failed and kept of every document."""
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
     docs = _table(spark, sf_dir, "documents")
@@ -42,6 +49,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the position of the first word of every document."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint in hex and component_id of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=3)
@@ -49,10 +62,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op7_bpe": op7_bpe,
+    "op8_mixing": op8_mixing,
     "op10_simhash": op10_simhash,
 }
-
-#: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
