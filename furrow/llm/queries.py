@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, mixing, quality_rules, simhash, token_counts
+from furrow.llm import bpe, mixing, quality_rules, secrets, simhash, token_counts
 from furrow.llm.oracles import ORACLES as ORACLES
 
 
@@ -36,6 +36,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of the secret scan: doc_id, place, score and verdict, with a digest for the candidate."""
+    trees = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.scan(_table(spark, sf_dir, "documents"), trees)
+    return found.withColumn("candidate_sha256", F.sha2("candidate", 256)).drop("candidate")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
     path = _tokenizer("byte_bpe_50k.json")
@@ -64,6 +71,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_secrets": op4_secrets,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op10_simhash": op10_simhash,
