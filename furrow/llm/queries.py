@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, mixing, quality_rules, secrets, simhash, token_counts
+from furrow.llm import bpe, mixing, quality_pu, quality_rules, secrets, simhash, token_counts, toxicity
 from furrow.llm.oracles import ORACLES as ORACLES
 
 
@@ -16,6 +16,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _bounded_batches(spark: SparkSession) -> None:
+    """Python workers get 8 MB of a table at a time: memory follows the longest text, not the row count."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +34,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
+    _bounded_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     return docs.select(
         "doc_id",
@@ -43,8 +50,28 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("candidate_sha256", F.sha2("candidate", 256)).drop("candidate")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the chain's probabilities and whether the document is toxic.
+
+    The labels mark one toxicity category; the chain's first link is the other labelled trait, junk
+    text, whose probability the toxicity model sees.
+    """
+    _bounded_batches(spark)
+    labels = _table(spark, sf_dir, "labels").withColumn("junk", 1 - F.col("quality"))
+    found = toxicity.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels, ["junk", "toxic"])
+    return found.select("doc_id", "p_junk", "p_toxic", F.col("is_toxic").alias("toxic"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    _bounded_batches(spark)
+    found = quality_pu.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
+    _bounded_batches(spark)
     path = _tokenizer("byte_bpe_50k.json")
     docs = _table(spark, sf_dir, "documents")
     coded = docs.select("doc_id", bpe.encode("text", path).alias("ids"))
@@ -64,6 +91,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint in hex and component_id of every document."""
+    _bounded_batches(spark)
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=3)
     return found.select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), "component_id")
 
@@ -72,6 +100,8 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_secrets": op4_secrets,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
     "op10_simhash": op10_simhash,
