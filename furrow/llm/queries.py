@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, mixing, quality_pu, quality_rules, secrets, simhash, token_counts, toxicity
+from furrow.llm import bpe, hilbert_ann, mixing, quality_pu, quality_rules, secrets, simhash, token_counts, toxicity
 from furrow.llm.oracles import ORACLES as ORACLES
 
 
@@ -32,6 +32,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest of every vector whose id is divisible by 20."""
+    _bounded_batches(spark)
+    return hilbert_ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
     _bounded_batches(spark)
@@ -98,6 +104,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_nearest": op2_nearest,
     "op3_token_counts": op3_token_counts,
     "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
