@@ -41,4 +41,29 @@ select doc_id, size, source_size, target, taken,
 from r
 """
 
-ORACLES = {"op8_mixing": OP8}
+OP9 = """
+with p as (
+  select page_id, coalesce(html, '') as h, max(page_id) over (partition by coalesce(html, '')) as m from pages
+)
+select page_id, cast(strlen(h) as bigint) as payload_bytes, sha1(h) as payload_digest,
+       case when strlen(h) >= 1000 and page_id < m then 'revisit' else 'response' end as record_type,
+       case when strlen(h) >= 1000 and page_id < m then m end as refers_to
+from p
+"""
+
+OP2 = """
+with v as (
+  select vec_id, cast(embedding as double[]) as x from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0
+    and len(list_filter(embedding, lambda c: c <> 0)) > 0
+), s as (
+  select q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x) as score
+  from v q, v where q.vec_id % 20 = 0 and q.vec_id <> v.vec_id
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rn from s
+)
+select query_id, cast(rn as integer) as rank, vec_id, score from r where rn <= 20
+"""
+
+ORACLES = {"op2_nearest": OP2, "op8_mixing": OP8, "op9_warc": OP9}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import bpe, hilbert_ann, mixing, quality_pu, quality_rules, secrets, simhash, token_counts, toxicity
+from furrow.llm import bpe, hilbert_ann, mixing, quality_pu, quality_rules, secrets, simhash, token_counts, toxicity, warc
 from furrow.llm.oracles import ORACLES as ORACLES
 
 
@@ -95,6 +95,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to, read back from the archives."""
+    _bounded_batches(spark)
+    manifest, folder = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = warc.warc_records(manifest.repartition(tasks), folder)
+    return found.select(
+        F.col("source").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_source").cast("long").alias("refers_to"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint in hex and component_id of every document."""
     _bounded_batches(spark)
@@ -111,5 +123,6 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
     "op8_mixing": op8_mixing,
+    "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
