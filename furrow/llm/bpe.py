@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-tokenizer's pattern for byte-level vocabularies of this kind.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+#: Pieces whose ids, and pairs whose fit, a worker remembers; a memory is emptied when it is full.
+REMEMBERED = 200_000
+PAIRS = 300_000
 
 
 def _byte_names() -> dict[str, int]:
@@ -61,7 +62,7 @@ class Codec:
             left, right, made = self.ids[a], self.ids[b], self.ids[a + b]
             self.rank.setdefault((left, right), (rank, made))
             self.parts.setdefault(made, (left, right, rank))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # by left << 20 | right
         self.tokens: dict[int, bytes] = {i: t for t, i in self.ids.items()}
         self.reached = {i for i, t in self.tokens.items() if self._by_merging(t) == [i]}
         self.trie = ahocorasick.Automaton()
@@ -94,7 +95,7 @@ class Codec:
         Undo, latest first, the merges that made either side; the pair stands unless the tokens that
         face each other at the seam at some time would merge earlier than what was undone last.
         """
-        key = (left, right)
+        key = left << 20 | right
         known = self._fits.get(key)
         if known is not None:
             return known
@@ -113,7 +114,7 @@ class Codec:
                 latest, a, left_first = ra[2], ra[1], False
             else:
                 latest, b, left_first = rb[2], rb[0], True
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) >= PAIRS:
             self._fits.clear()
         self._fits[key] = good
         return good
@@ -138,7 +139,7 @@ class Codec:
                 if not dead[at + size]:
                     if last < 0:
                         break
-                    good = fits.get((last, token))
+                    good = fits.get(last << 20 | token)
                     if good if good is not None else self.fits(last, token):
                         break
                 k -= 1
