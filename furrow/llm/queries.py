@@ -9,14 +9,14 @@ from furrow.llm import bpe, hilbert_ann, mixing, quality_pu, quality_rules, secr
 from furrow.llm.oracles import ORACLES as ORACLES
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     """Where a vocabulary file of the public tokenizers lies."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def _bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession) -> None:
     """Python workers get 8 MB of a table at a time: memory follows the longest text, not the row count."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -34,18 +34,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 20 nearest of every vector whose id is divisible by 20."""
-    _bounded_batches(spark)
+    bounded_batches(spark)
     return hilbert_ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
-    _bounded_batches(spark)
+    bounded_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     return docs.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        token_counts.n_tokens("text", _tokenizer("piece_bpe_32k.model")).alias("n_tokens"),
+        token_counts.n_tokens("text", tokenizer("piece_bpe_32k.model")).alias("n_tokens"),
     ).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
@@ -62,7 +62,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     The labels mark one toxicity category; the chain's first link is the other labelled trait, junk
     text, whose probability the toxicity model sees.
     """
-    _bounded_batches(spark)
+    bounded_batches(spark)
     labels = _table(spark, sf_dir, "labels").withColumn("junk", 1 - F.col("quality"))
     found = toxicity.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels, ["junk", "toxic"])
     return found.select("doc_id", "p_junk", "p_toxic", F.col("is_toxic").alias("toxic"))
@@ -70,15 +70,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    _bounded_batches(spark)
+    bounded_batches(spark)
     found = quality_pu.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
-    _bounded_batches(spark)
-    path = _tokenizer("byte_bpe_50k.json")
+    bounded_batches(spark)
+    path = tokenizer("byte_bpe_50k.json")
     docs = _table(spark, sf_dir, "documents")
     coded = docs.select("doc_id", bpe.encode("text", path).alias("ids"))
     return coded.select(
@@ -97,7 +97,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to, read back from the archives."""
-    _bounded_batches(spark)
+    bounded_batches(spark)
     manifest, folder = warc.archive_pages(_table(spark, sf_dir, "pages"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = warc.warc_records(manifest.repartition(tasks), folder)
@@ -109,7 +109,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint in hex and component_id of every document."""
-    _bounded_batches(spark)
+    bounded_batches(spark)
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold=3)
     return found.select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), "component_id")
 

@@ -6,6 +6,11 @@ code: the perfect Hamming code of length 31 (covering radius 1) times the one fr
 fingerprint goes to all anchors within covering radius plus threshold, 1 + 1 = 2, of each half, at
 most 17 of 2^27; two linked fingerprints meet at the anchor nearest to either. Fingerprints are
 compared per anchor on all 64 bits.
+
+``similar_groups`` uses the same anchors for looser likeness, where three bits are too few: quarters
+of 16 bits, each with the Hamming code of length 15 times a free bit, of a fingerprint over the set
+of words, which a few edits change little; whether two texts that meet are alike is decided by a
+second fingerprint, of 128 bits over five-word shingles.
 """
 
 from __future__ import annotations
@@ -21,24 +26,35 @@ from pyspark.sql import functions as F
 from furrow.llm.graph import components
 from furrow.session import cut
 
-#: Positions 1..31 of the Hamming code are bits 0..30 of a half; bit 31 is free.
-_SYNDROME = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
-_LOW31 = (1 << 31) - 1
+def _majority(hashes: np.ndarray) -> bytes:
+    """The bits set in over half of the rows of a byte matrix."""
+    total = np.zeros(hashes.shape[1] * 8, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        total += np.unpackbits(hashes[at : at + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
+
+
+def _shingles(words: list[bytes], shingle: int) -> Iterator[bytes]:
+    n = min(shingle, len(words))
+    return map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
 
 
 def simhash(words: list[bytes], shingle: int, seed: int = 42) -> int:
     """The fingerprint of a word sequence as an unsigned integer; no words give zero."""
     if not words:
         return 0
-    n = min(shingle, len(words))
-    rows = zip(*(words[i:] for i in range(n)), strict=False)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(join(r), seed) for r in rows), dtype="<u8", count=len(words) - n + 1)
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):
-        bits = np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(x, seed) for x in _shingles(words, shingle)), dtype="<u8")
+    return int.from_bytes(_majority(hashes.view(np.uint8).reshape(-1, 8)), "little")
+
+
+def wide_simhash(words: list[bytes], shingle: int, seed: int = 42) -> bytes:
+    """The 128-bit fingerprint of a word sequence; no words give zeros."""
+    if not words:
+        return bytes(16)
+    digest = xxhash.xxh3_128_digest
+    hashes = b"".join([digest(x, seed) for x in _shingles(words, shingle)])
+    return _majority(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 16))
 
 
 def fingerprint(text: Column | str, shingle: int = 3) -> Column:
@@ -57,30 +73,39 @@ def fingerprint(text: Column | str, shingle: int = 3) -> Column:
     return of((F.col(text) if isinstance(text, str) else text).cast("binary"))
 
 
-def _anchors(half: Column, which: int) -> Column:
-    """All anchors of one half within distance 2, as longs that also name the half."""
-    low = half.bitwiseAND(F.lit(_LOW31))
-    syndrome = sum((F.bit_count(low.bitwiseAND(F.lit(m))) % 2 * (1 << j) for j, m in enumerate(_SYNDROME)), F.lit(0)).cast("int")
-    # x ^ bit(i) ^ bit(j) is a code word when the positions i and j xor to the syndrome; position 0 flips nothing.
+def _anchors(part: Column, which: int, bits: int) -> Column:
+    """All anchors of a part of 32 or 16 bits within distance 2, as longs that also name the part.
+
+    Positions 1 to bits - 1 of the Hamming code are the low bits of the part; its top bit is free.
+    """
+    checks = bits.bit_length() - 1
+    masks = [sum(1 << (p - 1) for p in range(1, bits) if p >> j & 1) for j in range(checks)]
+    syndrome = sum((F.bit_count(part.bitwiseAND(F.lit(m))) % 2 * (1 << j) for j, m in enumerate(masks)), F.lit(0)).cast("int")
+    # part ^ bit(i) ^ bit(j) is a code word when the positions i and j xor to the syndrome; position 0 flips nothing.
     flip = lambda p: F.when(p == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), p - 1))
-    pairs = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: i < i.bitwiseXOR(syndrome))
-    words = F.transform(pairs, lambda i: half.bitwiseXOR(flip(i)).bitwiseXOR(flip(i.bitwiseXOR(syndrome))))
-    home = half.bitwiseXOR(flip(syndrome))
-    near = F.when(syndrome == 0, F.array(half)).otherwise(words)
-    every = F.concat(near, F.array(home.bitwiseXOR(F.lit(1 << 31))))
+    pairs = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: i < i.bitwiseXOR(syndrome))
+    words = F.transform(pairs, lambda i: part.bitwiseXOR(flip(i)).bitwiseXOR(flip(i.bitwiseXOR(syndrome))))
+    near = F.when(syndrome == 0, F.array(part)).otherwise(words)
+    every = F.concat(near, F.array(part.bitwiseXOR(flip(syndrome)).bitwiseXOR(F.lit(1 << (bits - 1)))))
     return F.transform(every, lambda a: a + F.lit(which << 32))
 
 
+def _covered(print_col: str, bits: int) -> Column:
+    """The anchors of all parts of a 64-bit fingerprint."""
+    cell = lambda k: F.call_function("shiftrightunsigned", F.col(print_col), F.lit(bits * k)).bitwiseAND(F.lit((1 << bits) - 1))
+    return F.concat(*(_anchors(cell(k), k, bits) for k in range(64 // bits)))
+
+
 def _linked(prints: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """A spanning forest of the link graph of distinct fingerprints, as index pairs.
+    """A spanning forest of the link graph of fingerprints (rows of 64-bit words), as index pairs.
 
-    A large set is first cut by four bands of 16 bits, of which linked fingerprints share one at
-    least, so that no set is compared all against all.
+    A large set of single words under a threshold of 3 is first cut by four bands of 16 bits, of
+    which linked fingerprints share one at least.
     """
-    if len(prints) > 4096 and threshold <= 3:
+    if len(prints) > 4096 and threshold <= 3 and prints.shape[1] == 1:
         found: list[tuple[int, int]] = []
         for band in range(4):
-            key = prints >> np.uint64(16 * band) & np.uint64(0xFFFF)
+            key = prints[:, 0] >> np.uint64(16 * band) & np.uint64(0xFFFF)
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.diff(key[order])) + 1
             for own in np.split(order, cuts):
@@ -90,13 +115,29 @@ def _linked(prints: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     return _forest(prints, threshold)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, words along the last axis."""
+    total = np.bitwise_count(a[..., 0] ^ b[..., 0])
+    for k in range(1, a.shape[-1]):
+        total = total + np.bitwise_count(a[..., k] ^ b[..., k])
+    return total
+
+
 def _forest(prints: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    left, found = np.arange(len(prints)), []
+    """Those that link to any other are found block by block; the forest grows over them alone."""
+    some = np.zeros(len(prints), dtype=bool)
+    for at in range(0, len(prints), 512):
+        own = prints[at : at + 512]
+        near = _apart(own[:, None, :], prints[None, at:, :]) <= threshold
+        near[np.arange(len(own)), np.arange(len(own))] = False
+        some[at : at + 512] |= near.any(axis=1)
+        some[at:] |= near.any(axis=0)
+    left, found = np.flatnonzero(some), []
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = np.bitwise_count(prints[left] ^ prints[at]) <= threshold
+            near = _apart(prints[left], prints[at][None, :]) <= threshold
             if near.any():
                 hit, left = left[near], left[~near]
                 found += [(int(at), int(x)) for x in hit]
@@ -105,13 +146,15 @@ def _forest(prints: np.ndarray, threshold: int) -> list[tuple[int, int]]:
 
 
 def _edges(threshold: int):
+    """Rows (anchor, node, print words...) sorted by anchor to the edges of a spanning forest per anchor."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
-    def runs(anchor: np.ndarray, prints: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def runs(anchor: np.ndarray, node: np.ndarray, *words: np.ndarray) -> pa.RecordBatch:
+        prints = np.stack([w.view(np.uint64) for w in words], axis=1)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         size = np.diff(np.r_[first, len(anchor)])
         two = first[size == 2]
-        two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= threshold]
+        two = two[_apart(prints[two], prints[two + 1]) <= threshold]
         src, dst = [node[two]], [node[two + 1]]
         for at, n in zip(first[size > 2], size[size > 2], strict=True):
             own = node[at : at + n]
@@ -123,23 +166,22 @@ def _edges(threshold: int):
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches are sorted by anchor; the last, perhaps unfinished run waits for the next batch."""
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        """The last, perhaps unfinished run of a batch waits for the next batch."""
+        kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, prints, node = (batch.column(i).to_numpy() for i in range(3))
-            cut_at = int(np.searchsorted(anchor, anchor[-1]))
-            if cut_at or (kept and kept[-1][0][-1] != anchor[0]):
-                done = [*kept, (anchor[:cut_at], prints[:cut_at], node[:cut_at])]
-                a, p, n = (np.concatenate(x) for x in zip(*done, strict=True))
-                if len(a):
-                    yield runs(a, p.view(np.uint64), n)
+            new = tuple(batch.column(i).to_numpy() for i in range(batch.num_columns))
+            cut_at = int(np.searchsorted(new[0], new[0][-1]))
+            if cut_at or (kept and kept[-1][0][-1] != new[0][0]):
+                done = [*kept, tuple(x[:cut_at] for x in new)]
+                whole = tuple(np.concatenate(x) for x in zip(*done, strict=True))
+                if len(whole[0]):
+                    yield runs(*whole)
                 kept = []
-            kept.append((anchor[cut_at:], prints[cut_at:], node[cut_at:]))
+            kept.append(tuple(x[cut_at:] for x in new))
         if kept:
-            a, p, n = (np.concatenate(x) for x in zip(*kept, strict=True))
-            yield runs(a, p.view(np.uint64), n)
+            yield runs(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
     return over
 
@@ -152,12 +194,8 @@ def links(prints: DataFrame, threshold: int = 3) -> DataFrame:
     """
     if threshold > 3:
         raise ValueError("the anchors cover thresholds up to 3 bits")
-    halves = F.concat(
-        _anchors(F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF)), 0),
-        _anchors(F.call_function("shiftrightunsigned", F.col("fingerprint"), F.lit(32)), 1),
-    )
     return (
-        prints.select(F.explode(halves).alias("anchor"), "fingerprint", "node")
+        prints.select(F.explode(_covered("fingerprint", 32)).alias("anchor"), "node", "fingerprint")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(_edges(threshold), "src long, dst long")
@@ -195,13 +233,55 @@ def as_hex(print_col: Column | str) -> Column:
     return F.lpad(F.lower(F.hex(print_col)), 16, "0")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 3) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: id and component_id, over links of texts alike to ``similarity`` or more.
+
+    The likeness of two texts is the cosine of their shingle counts as 128 bits estimate it:
+    cos(pi * differing bits / 128), so 0.8 allows 26 bits. Texts meet where a quarter of their
+    word-set fingerprints differs in one bit at most, and often where it differs in up to four.
+    An anchor's texts are compared as blocks; with 2^12 anchors a quarter this grows with the square
+    of the texts per anchor, which suits some tens of millions of different texts.
+    Nulls, blank texts, repeated rows and empty tables are as with ``near_duplicates``; texts that
+    agree in all 192 bits are one node.
+    """
+    threshold = int(np.floor(np.arccos(similarity) / np.pi * 128 + 1e-9))
+    kind = pa.struct([("words", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
+    @F.arrow_udf("words long, low long, high long")
+    def prints_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                words = t.as_py().lower().split() if t.is_valid else []
+                wide = wide_simhash(words, shingle)
+                rows.append((simhash(sorted(set(words)), 1), int.from_bytes(wide[:8], "little"), int.from_bytes(wide[8:], "little")))
+            columns = np.array(rows, dtype=np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(columns[:, i]) for i in range(3)], fields=list(kind))
+
+    marked = df.select(F.col(id_col).alias("_id"), prints_of(F.col(text_col).cast("binary")).alias("_p"))
+    marked = cut(marked.select("_id", "_p.*", F.xxhash64("_p.words", "_p.low", "_p.high").alias("node")))
+    nodes = cut(marked.groupBy("node").agg(F.min("_id").alias("_least"), F.min("words").alias("words"), F.min("low").alias("low"), F.min("high").alias("high")))
+    edges = (
+        nodes.select(F.explode(_covered("words", 16)).alias("anchor"), "node", "low", "high")
+        .repartition("anchor")
+        .sortWithinPartitions("anchor")
+        .mapInArrow(_edges(threshold), "src long, dst long")
+        .distinct()
+    )
+    named = nodes.join(components(edges), "node", "left").select("node", "_least", F.coalesce("component", "node").alias("_part"))
+    least = named.groupBy("_part").agg(F.min("_least").alias("component_id"))
+    by_node = named.join(least, "_part").select("node", "component_id")
+    return marked.join(by_node, "node").select(F.col("_id").alias(id_col), "component_id")
+
+
+def keep_one(df: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` with the smallest id of their group; of repeated rows of that id one stays.
 
-    A row without an id stays only if no row of its group has one, and then one of them. Only the
-    rows that go, and the ids that occur more than once, are joined to the texts.
+    ``found`` has id and component_id per row. A row without an id stays only if no row of its group
+    has one, and then one of them. Only the rows that go, and the ids that occur more than once, are
+    joined to the texts.
     """
-    found = cut(near_duplicates(df, id_col, text_col, shingle, threshold).select(F.col(id_col).alias("_id"), "fingerprint", "component_id"))
+    found = cut(found.select(F.col(id_col).alias("_id"), "component_id"))
     per_id = found.groupBy("_id").agg(
         F.count("*").alias("_n"), F.min(F.col("_id").eqNullSafe(F.col("component_id")).cast("int")).alias("_kept")
     )
