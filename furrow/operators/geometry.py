@@ -1,0 +1,183 @@
+"""Geometry on the pixel model: a polygon is the set of its 10 m pixels.
+
+Boxes are half-open, [x0, x1) by [y0, y1) in pixels. Set operations are relational: area is a count,
+intersection an inner join on (px, py), difference an anti join, union a distinct.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+PIXEL_M = 10
+HA_PER_PIXEL = PIXEL_M * PIXEL_M / 1e4
+
+
+def pixels(boxes: DataFrame) -> DataFrame:
+    """A row per pixel of each box; x0, y0, x1, y1 become px, py."""
+    rest = [c for c in boxes.columns if c not in ("x0", "y0", "x1", "y1")]
+    return (
+        boxes.where("x1 > x0 and y1 > y0")
+        .select(*rest, "y0", "y1", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("px"))
+        .select(*rest, "px", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("py"))
+    )
+
+
+def exposed(px: DataFrame, key: str = "poly_id") -> DataFrame:
+    """Pixels with flags left, right, below, above: no pixel of the same polygon lies there.
+
+    One shuffle on the key serves both orderings.
+    """
+    rows, cols = Window.partitionBy(key, "py").orderBy("px"), Window.partitionBy(key, "px").orderBy("py")
+    gone = lambda w, c, step: ~F.coalesce((F.lag(c).over(w) == F.col(c) - 1) if step < 0 else (F.lead(c).over(w) == F.col(c) + 1), F.lit(False))
+    return px.repartition(key).select(
+        "*", gone(rows, "px", -1).alias("left"), gone(rows, "px", 1).alias("right"), gone(cols, "py", -1).alias("below"), gone(cols, "py", 1).alias("above")
+    )
+
+
+def shape(px: DataFrame, key: str = "poly_id") -> DataFrame:
+    """Area, perimeter, compactness, bounds, centroid and a point inside, per polygon."""
+    edges = sum((F.col(c).cast("int") for c in ("left", "right", "below", "above")), F.lit(0))
+    out = exposed(px, key).groupBy(key).agg(
+        F.count("*").alias("n_px"), F.sum(edges).alias("n_edges"), F.min("px").alias("x0"), F.min("py").alias("y0"), (F.max("px") + 1).alias("x1"), (F.max("py") + 1).alias("y1"),
+        (F.avg("px") + 0.5).alias("cx"), (F.avg("py") + 0.5).alias("cy"),
+    )
+    inside = px.join(out.select(key, "cx", "cy"), key)
+    away = F.pow(F.col("px") + 0.5 - F.col("cx"), 2) + F.pow(F.col("py") + 0.5 - F.col("cy"), 2)
+    point = inside.groupBy(key).agg(F.min_by(F.struct("px", "py"), F.struct(F.round(away, 9), "px", "py")).alias("inside"))
+    return out.join(point, key).select(
+        key, (F.col("n_px") * HA_PER_PIXEL).alias("area_ha"), (F.col("n_edges") * PIXEL_M).alias("perimeter_m"),
+        (F.col("n_edges") / F.sqrt(F.col("n_px").cast("double"))).alias("compactness"), "x0", "y0", "x1", "y1", "cx", "cy", F.col("inside.px").alias("in_x"), F.col("inside.py").alias("in_y"),
+    )
+
+
+def overlaps(a: DataFrame, b: DataFrame, a_id: str, b_id: str, condition: Column | None = None) -> DataFrame:
+    """Common pixels of pairs of polygons, by an equi join on the pixel and a partial count."""
+    left = a.select(*(F.col(c).alias(f"a_{c}") for c in a.columns))
+    right = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
+    on = (F.col("a_px") == F.col("b_px")) & (F.col("a_py") == F.col("b_py"))
+    return left.join(right, on if condition is None else on & condition).groupBy(F.col(f"a_{a_id}").alias("a"), F.col(f"b_{b_id}").alias("b")).agg(F.count("*").alias("inter_px"))
+
+
+def with_areas(pairs: DataFrame, areas_a: DataFrame, areas_b: DataFrame) -> DataFrame:
+    """Pairs with both areas (px), IoU, containment in the smaller one, and each side's share."""
+    i, a, b = F.col("inter_px"), F.col("area_a"), F.col("area_b")
+    joined = pairs.join(areas_a.toDF("a", "area_a"), "a").join(areas_b.toDF("b", "area_b"), "b")
+    return joined.withColumns({"iou": i / (a + b - i).cast("double"), "contain": i / F.least(a, b).cast("double"), "share_a": i / a.cast("double"), "share_b": i / b.cast("double")})
+
+
+def areas(px: DataFrame, key: str = "poly_id") -> DataFrame:
+    return px.groupBy(key).agg(F.count("*").alias("n_px"))
+
+
+_RING = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+
+def _spread(px: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    around = F.explode(F.array(*(F.struct((F.col("px") + i).alias("x"), (F.col("py") + j).alias("y")) for i, j in offsets)))
+    rest = [c for c in px.columns if c not in ("px", "py")]
+    return px.select(*rest, around.alias("_n")).select(*rest, F.col("_n.x").alias("px"), F.col("_n.y").alias("py"))
+
+
+def eroded(px: DataFrame, key: str = "poly_id") -> DataFrame:
+    """Pixels all of whose eight neighbours belong to the polygon too: nine rows meet at them."""
+    return _spread(px.select(key, "px", "py"), _RING).groupBy(key, "px", "py").count().where("count = 9").drop("count")
+
+
+def eroded_or_whole(px: DataFrame, key: str = "poly_id") -> DataFrame:
+    """The eroded polygon, or the polygon itself where nothing is left."""
+    core = eroded(px, key)
+    lost = px.select(key, "px", "py").join(core.select(key).distinct(), key, "left_anti")
+    return core.unionByName(lost)
+
+
+def dilated(px: DataFrame, key: str = "poly_id", rings: int = 1) -> DataFrame:
+    """The polygon with so many rings of pixels around it."""
+    out = px.select(key, "px", "py")
+    for _ in range(rings):
+        out = _spread(out, _RING).distinct()
+    return out
+
+
+def union(px: DataFrame, group: str) -> DataFrame:
+    """The pixels of a group's polygons, each once."""
+    return px.select(group, "px", "py").distinct()
+
+
+def difference(px: DataFrame, other: DataFrame) -> DataFrame:
+    """Pixels that the other set doesn't have."""
+    return px.join(other.select("px", "py").distinct(), ["px", "py"], "left_anti")
+
+
+def coverage(px: DataFrame, covering: DataFrame, key: str = "poly_id") -> DataFrame:
+    """The share of each polygon that other polygons cover together; ``covering`` has own, px, py."""
+    hit = px.join(covering, ["px", "py"]).where(F.col(key) != F.col("own")).select(key, "px", "py").distinct()
+    n = hit.groupBy(key).agg(F.count("*").alias("n_covered"))
+    return areas(px, key).join(n, key, "left").select(key, "n_px", F.coalesce("n_covered", F.lit(0)).alias("n_covered"), (F.coalesce("n_covered", F.lit(0)) / F.col("n_px").cast("double")).alias("coverage"))
+
+
+def parts(px: DataFrame, group: str) -> DataFrame:
+    """group, part, n_px: the 4-connected parts of pixel sets; a part is named by its smallest pixel key."""
+    from furrow.operators.graph import components
+
+    big = 1 << 20
+    node = F.col(group).cast("long") * (1 << 42) + (F.col("px") + big // 2) * (1 << 21) + (F.col("py") + big // 2)
+    nodes = px.select(group, "px", "py", node.alias("node"))
+    rows, cols = Window.partitionBy(group, "py").orderBy("px"), Window.partitionBy(group, "px").orderBy("py")
+    beside = nodes.select("node", F.when(F.lag("px").over(rows) == F.col("px") - 1, F.lag("node").over(rows)).alias("w"), F.when(F.lag("py").over(cols) == F.col("py") - 1, F.lag("node").over(cols)).alias("s"))
+    edges = beside.select(F.col("node").alias("src"), F.explode(F.array_compact(F.array("w", "s"))).alias("dst"))
+    named = nodes.join(components(edges), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    return named.groupBy(group, "part").agg(F.count("*").alias("n_px"))
+
+
+def edge_touch(px: DataFrame, size: int, key: str = "poly_id") -> DataFrame:
+    """Metres of each polygon's boundary that run along the lattice of square tiles."""
+    x, y = F.pmod("px", F.lit(size)), F.pmod("py", F.lit(size))
+    along = [F.col("left") & (x == 0), F.col("right") & (x == size - 1), F.col("below") & (y == 0), F.col("above") & (y == size - 1)]
+    return exposed(px, key).groupBy(key).agg((F.sum(sum((c.cast("int") for c in along), F.lit(0))) * PIXEL_M).alias("edge_m"))
+
+
+def tile_distance(x0: Column, y0: Column, x1: Column, y1: Column, kx: Column, ky: Column, size: int) -> Column:
+    """Metres from a bounding box's sides to its own tile's sides, the least of the four."""
+    return F.least(F.abs(x0 - kx * size), F.abs(x1 - (kx + 1) * size), F.abs(y0 - ky * size), F.abs(y1 - (ky + 1) * size)) * PIXEL_M
+
+
+def lattice_distance(v: Column, origin: float, step: float) -> Column:
+    """Distance to the nearest line of a lattice."""
+    return F.abs(F.pmod(v - origin + step / 2, F.lit(float(step))) - step / 2)
+
+
+def recover_lattice(df: DataFrame, v: str) -> DataFrame:
+    """One row: the smallest step between distinct positions, and the median position modulo it."""
+    seen = df.select(F.col(v).cast("double").alias("v")).distinct()
+    step = seen.select((F.col("v") - F.lag("v").over(Window.orderBy("v"))).alias("s")).agg(F.min("s").alias("step"))
+    return seen.join(F.broadcast(step)).groupBy("step").agg(F.median(F.pmod("v", "step")).alias("origin"))
+
+
+def rasterise(px: DataFrame, order: str = "poly_id") -> DataFrame:
+    """px, py and the polygon that is drawn last there."""
+    return px.groupBy("px", "py").agg(F.max(order).alias(order))
+
+
+def resample(cells: DataFrame, value: str, factor: int) -> DataFrame:
+    """Blocks of factor by factor cells: largest, mean and count."""
+    return cells.groupBy(F.floor(F.col("px") / factor).alias("bx"), F.floor(F.col("py") / factor).alias("by")).agg(F.max(value).alias("most"), F.avg(value).alias("mean"), F.count("*").alias("n"))
+
+
+def identity(px: DataFrame, key: str = "poly_id") -> DataFrame:
+    """A polygon's md5 over its sorted pixels: equal shapes in equal places have equal hashes."""
+    return px.groupBy(key).agg(F.md5(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("px", "py"))), lambda p: F.concat_ws(",", p["px"], p["py"])))).alias("hash"))
+
+
+def tree_fraction(px: DataFrame, canopy: DataFrame, height: float, key: str = "poly_id") -> DataFrame:
+    """Share of a polygon's pixels with canopy data above a height; NULL where there are no data."""
+    return px.join(canopy, ["px", "py"], "left").groupBy(key).agg(
+        F.count("height").alias("n_seen"), F.try_divide(F.count_if(F.col("height") > height).cast("double"), F.count("height").cast("double")).alias("tree_frac")
+    )
+
+
+def band_share(half: float, band: float) -> float:
+    """The share of a square's area within a band along its sides, in closed form."""
+    inner = max(0.0, half - band)
+    return 1 - (inner / half) ** 2

@@ -60,6 +60,8 @@ fx_tile as (select distinct cast(floor(x0/20) as bigint) as gx, cast(floor(y0/20
 def with_ctes(sql: str) -> str:
     """SQL over the domain's views: their definitions go before it."""
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {CTES.strip()},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {CTES.strip()},\n{body[5:]}"
     return f"with {CTES.strip()}\n{body}"
