@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 from furrow.functions import scalars as X
 from furrow.functions.scalars import r6
 from furrow.operators import filters as P
-from furrow.plans.catalog import SPECIES, case_of
 from furrow.plans.registry import query
 
 query("F3", "keep_list", "select trial, crop from fx_site where trial in (select o_custkey from orders where o_orderstatus='F')")(
@@ -54,13 +53,11 @@ query("F17 F18 F19 F20 X26", "column_contract", """
 """)(lambda t: P.conform(P.with_suffix(P.keep_families(P.drop_all_null(t.ts.groupBy("trial_id").agg(r6(F.max("red")).alias("red_max"), r6(F.max("nir")).alias("nir_max"), F.max(F.lit(None).cast("double")).alias("red_none"))), ["red"], ["trial_id"]), "bands", ["trial_id"]),
     T.StructType([T.StructField("trial_id", T.LongType()), T.StructField("red_max@bands", T.DoubleType()), T.StructField("extra", T.DoubleType())])))
 
-_RISK = {"tiny": (F.col("area_ha") < 0.3, 3) if False else None}
 query("F23 T5", "risk_flags", """
   select poly_id, score, flags from (select poly_id, (case when area_ha<0.4 then 3 else 0 end)+(case when poly_id%4=0 then 3 else 0 end)+(case when coalesce(abstain_reason<>'',false) then 2 else 0 end)+(case when pred='Legume' then 1 else 0 end) as score,
     concat_ws(',', case when area_ha<0.4 then 'small' end, case when poly_id%4=0 then 'seam' end, case when abstain_reason<>'' then 'abstained' end, case when pred='Legume' then 'legume' end) as flags from fx_poly) order by score desc, poly_id limit 100
 """)(lambda t: (lambda s, n: t.poly.select("poly_id", s.alias("score"), n.alias("flags")).orderBy(F.col("score").desc(), "poly_id").limit(100))(*P.risk({
     "small": (F.col("area_ha") < 0.4, 3), "seam": (F.col("poly_id") % 4 == 0, 3), "abstained": (F.col("abstain_reason") != "", 2), "legume": (F.col("pred") == "Legume", 1)})))
-del _RISK
 
 query("F24", "triage_reasons", """
   select poly_id, area_ha<0.3 or area_ha>1.2 or poly_id%6=0 as flagged, concat_ws('; ', case when poly_id%6=0 then 'point_outside' end, case when area_ha<0.3 then 'too_small' end, case when area_ha>1.2 then 'too_big' end) as why from fx_poly
@@ -120,5 +117,3 @@ query("A11 A13 A65", "multi_aggregate", """
     (select string_agg(x, ',' order by x) from (select distinct cast(s.crop as varchar) as x from fx_site s where s.site=g.site)) as crops from fx_site g group by site
 """)(lambda t: t.sites.groupBy("site").agg(F.count("*").alias("n"), F.max("bal").alias("top"), F.count_distinct("crop").alias("n_crops"), F.bool_or(F.col("stratum") == "BUILDING").alias("any_building"),
     F.round(F.avg("bal"), 4).alias("mean_bal"), F.concat_ws(",", F.array_sort(F.collect_set(F.col("crop").cast("string")))).alias("crops")))
-
-_S = SPECIES, case_of

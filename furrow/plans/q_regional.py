@@ -46,9 +46,9 @@ query("A64", "state_median_difference", """
 """)(lambda t: R.state_difference(t.mapped, t.stat, t.nation, 20))
 
 query("A68", "nested_level_check", """
-  select 'nation' as level, yr, round(sum(ha),4) as ha from fx_stat group by 2 union all select 'state', yr, round(sum(ha),4) from (select n_regionkey, yr, sum(ha) as ha from fx_stat join nation on region=n_nationkey group by 1,2) group by 2
-""")(lambda t: (lambda s: s.groupBy("yr").agg(F.round(F.sum("ha"), 4).alias("ha")).select(F.lit("nation").alias("level"), "yr", "ha").unionAll(
-    s.join(t.nation, F.col("region") == F.col("n_nationkey")).groupBy("n_regionkey", "yr").agg(F.sum("ha").alias("ha")).groupBy("yr").agg(F.round(F.sum("ha"), 4).alias("ha")).select(F.lit("state"), "yr", "ha")))(t.stat))
+  select 'nation' as level, yr, round(sum(ha),6) as ha from fx_stat group by 2 union all select 'state', yr, round(sum(ha),6) from (select n_regionkey, yr, sum(ha) as ha from fx_stat join nation on region=n_nationkey group by 1,2) group by 2
+""")(lambda t: (lambda s: s.groupBy("yr").agg(F.round(F.sum("ha"), 6).alias("ha")).select(F.lit("nation").alias("level"), "yr", "ha").unionAll(
+    s.join(t.nation, F.col("region") == F.col("n_nationkey")).groupBy("n_regionkey", "yr").agg(F.sum("ha").alias("ha")).groupBy("yr").agg(F.round(F.sum("ha"), 6).alias("ha")).select(F.lit("state"), "yr", "ha")))(t.stat))
 
 query("A53 A67 C38", "coverage_by_reason", """
   select case when coalesce(abstain_reason,'')='' then pred else 'abstain:'||abstain_reason end as category, count(*) as n, round(sum(area_ha),6) as ha, round(sum(area_ha)/(select sum(area_ha) from fx_poly),6) as share from fx_poly group by 1

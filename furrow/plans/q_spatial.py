@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from furrow.functions.scalars import albers, box_degrees, ellipsoid_cell_area, haversine, quadkey, r6, slippy_tile
 from furrow.operators import geometry as G
@@ -233,5 +232,3 @@ query("J22 X14 C36 W1 W2", "nearest_different_crop", f"""
 """)(lambda t: (lambda s: s.select("trial", "yr", "crop", "site", "lon", "lat").join(s.select("yr", "site", F.col("crop").alias("bc"), F.col("lon").alias("blon"), F.col("lat").alias("blat")).withColumnsRenamed({"yr": "byr", "site": "bsite"}),
     (F.col("yr") == F.col("byr")) & (F.col("site") == F.col("bsite")) & (F.col("crop") != F.col("bc")), "left").groupBy("trial").agg(F.min(haversine(F.col("lon"), F.col("lat"), F.col("blon"), F.col("blat"))).alias("m")).select(
     "trial", F.round("m", 2).alias("nearest_m"), (F.col("m").isNull() | (F.col("m") > 200)).alias("clean")))(t.sites.where("trial < 600")))
-
-_W = Window
