@@ -17,12 +17,12 @@ from furrow.llm.text import n_words
 from furrow.session import cut
 
 def ramp_schedules(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), swing: float = 0.5) -> DataFrame:
-    """(source, knots): weights dealt to the sources by code point, null last, as ramps.
+    """(source, knots): weights dealt to the sources by code point, null (as '') last, as ramps.
 
     Sources of odd rank fall from (1 + swing) to (1 - swing) times their weight, the others rise,
     so that every integral is the weight itself.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    rank = F.row_number().over(Window.orderBy(F.col("source") == "", "source"))  # '' stands for null
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank - 1) % len(weights) + 1)
     sign = F.when(rank % 2 == 1, 1.0).otherwise(-1.0)
     knot = lambda t, w: F.struct(F.lit(t).alias("t"), w.alias("w"))
@@ -50,7 +50,7 @@ def plan(sizes: DataFrame, schedules: DataFrame, share: float = 1.5, cap: float
     area = lambda s: (s["r0"] + s["r1"]) / 2 * s["dt"]
     total = lambda parts: F.aggregate(parts, F.lit(0.0), lambda acc, s: acc + area(s))
     known = (
-        sizes.join(schedules.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+        sizes.join(schedules.withColumnRenamed("source", "_source"), F.col("source") == F.col("_source"))
         .withColumn("_parts", part)
         .withColumn("_weight", total(F.col("_parts")))
         .withColumn("_cap", cap * F.col("source_size"))
@@ -97,7 +97,8 @@ def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFr
         "_mix_key": F.substring(key, 1, 16),
         "_mix_bucket": F.conv(F.substring(key, 1, 3), 16, 10).cast("int"),
         "_mix_tie": F.xxhash64(text_col),
-        "_mix_of": F.col(source_col),
+        # A text that is never null, so that one hash partitioning serves the window and the join.
+        "_mix_of": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")),
     })
 
 
@@ -106,6 +107,8 @@ def _placed(df: DataFrame, schedules: DataFrame | None, id_col: str, text_col: s
     sized = _sized(df, id_col, text_col, source_col) if "_mix_size" not in df.columns else df
     by_bucket = sized.groupBy(F.col("_mix_of").alias("source"), "_mix_bucket").agg(F.sum("_mix_size").alias("_sum"))
     sizes = by_bucket.groupBy("source").agg(F.sum("_sum").alias("source_size"))
+    if schedules is not None:
+        schedules = schedules.withColumn("source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     planned = plan(sizes, ramp_schedules(sizes) if schedules is None else schedules, share, cap)
     before = Window.partitionBy("source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.select(
@@ -115,7 +118,7 @@ def _placed(df: DataFrame, schedules: DataFrame | None, id_col: str, text_col: s
     )
     # One row per source and bucket, at most 4096 for each source, with the source's own plan.
     planned = planned.select(*(F.col(c).alias(f"_mix_{c}") for c in planned.columns))
-    starts = offsets.join(planned, F.col("_s_of").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
+    starts = offsets.join(planned, F.col("_s_of") == F.col("_mix_source")).drop("_mix_source")
     line = (
         Window.partitionBy("_mix_of", "_mix_bucket")
         .orderBy("_mix_key", "_mix_size", "_mix_tie")
@@ -124,7 +127,7 @@ def _placed(df: DataFrame, schedules: DataFrame | None, id_col: str, text_col: s
     first, passes = F.col("_mix_first"), F.col("_mix_passes")
     return (
         sized.withColumn("_mix_before", F.coalesce(F.sum("_mix_size").over(line), F.lit(0)))
-        .join(starts, F.col("_mix_of").eqNullSafe(F.col("_s_of")) & (F.col("_mix_bucket") == F.col("_s_bucket")))
+        .join(starts, (F.col("_mix_of") == F.col("_s_of")) & (F.col("_mix_bucket") == F.col("_s_bucket")))
         .withColumn("_mix_first", F.col("_mix_offset") + F.col("_mix_before"))
         .withColumn("_mix_passes", F.when(F.col("_mix_source_size") > 0, F.floor(F.col("_mix_target") / F.col("_mix_source_size"))).otherwise(0))
         .withColumn("_mix_over", F.floor(F.col("_mix_target") - passes * F.col("_mix_source_size")))
