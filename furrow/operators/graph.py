@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from furrow.session import cut
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def _digest(edges: DataFrame) -> tuple:
+    """The number of edges and a sum over their hashes: equal for equal tables."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (src long, dst long); component = smallest node.
 
+    ``rows``, if known, is about how many edges there are at most.
+
     Each round keeps at most as many edges as the one before and halves the depth of the trees, so
     the rounds grow with the logarithm of a component's diameter. A hub's rows are reduced by
     partial minima before they are shuffled; the join back to them is an ordinary sort-merge join
@@ -20,10 +27,12 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = cut(
         edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
+        .distinct(),
+        rows,
     )
+    before = _digest(now)
     for _ in range(max_rounds):
-        if now.isEmpty():
+        if not before[0]:
             break
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -36,10 +45,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        before, now = now, cut(small)
-        same = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        was = before.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if same == was:
+        now = cut(small, before[0])
+        same, before = before, _digest(now)
+        if same == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -46,9 +46,19 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder; survives the loss of any executor."""
+#: Rows for each file of a checkpoint whose row count is known; fewer, larger files are cheaper to write.
+ROWS_PER_FILE = 200_000
+LEAST_FILES = 6
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder; survives the loss of any executor.
+
+    ``rows``, if about known, says into how many files small tables go at most.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    if rows is not None:
+        df = df.coalesce(LEAST_FILES + rows // ROWS_PER_FILE)
     return df.checkpoint(eager=True)
