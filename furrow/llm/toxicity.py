@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from furrow.llm.sampling import in_share, labelled, share_of
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Length of the word beginnings that count as features beside the words.
-STEM = 5
+#: Lengths of the word beginnings that count as features beside the words; compounds share them.
+STEMS = (3, 4, 5, 6)
 
 
 def marks(text: str) -> set[str]:
     """Lower-cased words of a whole text, and the beginnings of the longer ones."""
     own = set(_WORD.findall(text.lower()))
-    return own.union([w[:STEM] + "-" for w in own if len(w) > STEM])
+    return own.union(*([w[:n] + "-" for w in own if len(w) > n] for n in STEMS))
 
 
 def _marks(text: Column | str) -> Column:
@@ -80,13 +80,17 @@ def _linear(w: np.ndarray, hits: list[np.ndarray], more: np.ndarray, size: int)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_chain(categories: list[str], vocabulary: dict[str, int], hits: list[np.ndarray], y: np.ndarray, folds: int = 5) -> Chain:
-    """One model per category; the earlier probabilities that a later one learns from are out of fold."""
-    size, n = len(vocabulary), len(hits)
+def fit_chain(categories: list[str], vocabulary: dict[str, int], all_hits: list[np.ndarray], y: np.ndarray, own: np.ndarray | None = None, folds: int = 5) -> Chain:
+    """One model per category; the earlier probabilities that a later one learns from are out of fold.
+
+    ``own`` (category, mark) tells which marks a category's model uses; the others get no weight.
+    """
+    size, n = len(vocabulary), len(all_hits)
     fold = np.arange(n) % folds
     earlier = np.zeros((n, 0))
     weights = []
     for j in range(len(categories)):
+        hits = all_hits if own is None else [h[own[j][h]] for h in all_hits]
         weights.append(fit_logistic(hits, earlier, y[:, j], size))
         if j + 1 < len(categories):
             out = np.zeros(n)
@@ -101,7 +105,7 @@ def fit_chain(categories: list[str], vocabulary: dict[str, int], hits: list[np.n
 def train(df: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 8000, max_marks: int = 4000) -> Chain | None:
     """A chain from at most about ``max_rows`` labelled rows, chosen by a hash of the id.
 
-    The marks are those that part some category best by chi-square over all sampled rows, counted in
+    The marks of a category are those that part it best by chi-square over all sampled rows, counted in
     Spark; the driver gets them and, per row, which of them occur. Without labelled rows there is no
     chain.
     """
@@ -112,7 +116,7 @@ def train(df: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     total, *ones = rows.agg(F.count("*"), *(F.sum(c) for c in categories)).first()
     if not total:
         return None
-    seen = rows.select(F.explode("marks").alias("mark"), *categories).groupBy("mark").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories)).where("n >= 3")
+    seen = rows.select(F.explode("marks").alias("mark"), *categories).groupBy("mark").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories)).where("n >= 5")
 
     def chi(c: str, one: int) -> Column:
         a, n = F.col(c).cast("double"), F.col("n").cast("double")
@@ -120,12 +124,13 @@ def train(df: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
         return F.try_divide(gap * gap * total, n * one * (total - n) * (total - one))
 
     best = [seen.select("mark", chi(c, int(one)).alias("_chi")).orderBy(F.col("_chi").desc_nulls_last(), "mark").limit(max_marks // len(categories)) for c, one in zip(categories, ones, strict=True)]
-    chosen = sorted({r["mark"] for b in best for r in b.collect()})
-    vocabulary = {m: i for i, m in enumerate(chosen)}
+    taken = [{r["mark"] for r in b.collect()} for b in best]
+    vocabulary = {m: i for i, m in enumerate(sorted(set().union(*taken)))}
+    own = np.array([[m in marks_of for m in vocabulary] for marks_of in taken], dtype=bool)
     table = rows.select("_key", _hits(F.col("marks"), vocabulary).alias("hits"), *categories).orderBy("_key").toArrow()
     hits = [np.array(h, dtype=np.int64) for h in table["hits"].to_pylist()]
     y = np.column_stack([np.array(table[c].to_pylist(), dtype=np.float64) for c in categories])
-    return fit_chain(categories, vocabulary, hits, y)
+    return fit_chain(categories, vocabulary, hits, y, own)
 
 
 def _hits(found: Column, vocabulary: dict[str, int]) -> Column:
