@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 #: Fixed value: the pre-tokenizer's pattern for byte-level vocabularies of this kind.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids, and pairs whose fit, a worker remembers; a memory is emptied when it is full.
-REMEMBERED = 200_000
-PAIRS = 300_000
+REMEMBERED = 150_000
+PAIRS = 200_000
 
 
 def _byte_names() -> dict[str, int]:
@@ -39,10 +39,13 @@ def _byte_names() -> dict[str, int]:
     return names
 
 
-class Codec:
-    """Vocabulary, merges and special tokens of one file, ready to encode and decode."""
+class Vocabulary:
+    """Tokens and special tokens of one file, with the offset table that decodes them."""
 
     def __init__(self, path: str):
+        self._load(path)
+
+    def _load(self, path: str) -> tuple[dict, dict[str, bytes]]:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         known = spec["pre_tokenizer"] or {}
         model = spec["model"]
@@ -54,6 +57,29 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("special tokens with stripping rules are not supported")
+        every = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
+        size = np.zeros(max(every) + 2, dtype=np.int64)
+        for i, t in every.items():
+            size[i + 1] = len(t)
+        self.offsets = np.cumsum(size)
+        self.bytes = np.frombuffer(b"".join(every.get(i, b"") for i in range(max(every) + 1)), dtype=np.uint8)
+        return model, raw
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ids, gathered through the offset table; ids outside it have none."""
+        ids = ids[(ids >= 0) & (ids < len(self.offsets) - 1)].astype(np.int64)
+        first = self.offsets[ids]
+        size = self.offsets[ids + 1] - first
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.arange(total) + np.repeat(first - (ends - size), size)].tobytes()
+
+
+class Codec(Vocabulary):
+    """A vocabulary with its merges, ready to encode too."""
+
+    def __init__(self, path: str):
+        model, raw = self._load(path)
         #: pair -> (rank, merged id), and for each merged id the pair and rank that make it.
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -65,16 +91,18 @@ class Codec:
         self._fits: dict[int, bool] = {}  # by left << 20 | right
         self.tokens: dict[int, bytes] = {i: t for t, i in self.ids.items()}
         self.reached = {i for i, t in self.tokens.items() if self._by_merging(t) == [i]}
+        #: Token lengths, and for each token the longest other token that it begins with, or -1.
+        self.length = [0] * (max(self.tokens) + 1)
+        self.shorter = [-1] * len(self.length)
+        self.single = [self.ids[bytes([b])] for b in range(256)]
         self.trie = ahocorasick.Automaton()
         for i in self.reached:
-            self.trie.add_word(self.tokens[i].decode("latin-1"), (len(self.tokens[i]), i))
+            data = self.tokens[i]
+            self.length[i] = len(data)
+            self.shorter[i] = next((j for n in range(len(data) - 1, 0, -1) if (j := self.ids.get(data[:n])) in self.reached), -1)
+            if len(data) > 1:
+                self.trie.add_word(data.decode("latin-1"), i)
         self.trie.make_automaton()
-        every = self.tokens | {i: s.encode() for s, i in self.special.items()}
-        size = np.zeros(max(every) + 2, dtype=np.int64)
-        for i, t in every.items():
-            size[i + 1] = len(t)
-        self.offsets = np.cumsum(size)
-        self.bytes = np.frombuffer(b"".join(every.get(i, b"") for i in range(max(every) + 1)), dtype=np.uint8)
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pieces = regex.compile(PIECES)
         self.memory: dict[str, bytes] = {}
@@ -122,38 +150,37 @@ class Codec:
     def encode_piece(self, data: bytes) -> list[int]:
         """The ids of one piece, by backtracking over longest matches."""
         whole = self.ids.get(data)
-        if whole in self.reached:
+        if whole is not None and whole in self.reached:
             return [whole]
-        n = len(data)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.trie.iter(data.decode("latin-1")):
-            found[end + 1 - match[0]].append(match)  # ends rise, so the longest comes last
-        fits, row, at = self._fits, [], 0
-        choice = [len(found[0]) - 1]  # the match now tried at each step
-        dead = bytearray(n + 1)
-        while at < n:
-            options, k = found[at], choice[-1]
-            last = row[-1][1] if row else -1
-            while k >= 0:
-                size, token = options[k]
-                if not dead[at + size]:
+        length, shorter, fits, single = self.length, self.shorter, self._fits, self.single
+        longest = [single[b] for b in data]
+        for end, token in self.trie.iter(data.decode("latin-1")):
+            longest[end + 1 - length[token]] = token  # ends rise, so the longest comes last
+        n, at, last, row = len(data), 0, -1, []
+        dead: set[int] = set()
+        token = longest[0]
+        while True:
+            while token >= 0:
+                end = at + length[token]
+                if end not in dead:
                     if last < 0:
                         break
                     good = fits.get(last << 20 | token)
                     if good if good is not None else self.fits(last, token):
                         break
-                k -= 1
-            if k >= 0:
-                choice[-1] = k
-                row.append(options[k])
-                at += size
-                choice.append(len(found[at]) - 1 if at < n else 0)
+                token = shorter[token]
+            if token >= 0:
+                row.append(token)
+                if end == n:
+                    return row
+                at, last, token = end, token, longest[end]
             else:
-                dead[at] = 1
-                choice.pop()
-                at -= row.pop()[0]
-                choice[-1] -= 1
-        return [token for _, token in row]
+                # No token may follow here: give up the last one and go on with a shorter one.
+                dead.add(at)
+                gone = row.pop()
+                at -= length[gone]
+                last = row[-1] if row else -1
+                token = shorter[gone]
 
     def _ids(self, piece: str) -> bytes:
         got = np.array(self.encode_piece(piece.encode()), dtype="<i4").tobytes()
@@ -178,15 +205,6 @@ class Codec:
         memory = self.memory
         return b"".join([memory.get(p) or self._ids(p) for p in self.pieces.findall(text)])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of all ids, gathered through the offset table; ids outside it have none."""
-        ids = ids[(ids >= 0) & (ids < len(self.offsets) - 1)].astype(np.int64)
-        first = self.offsets[ids]
-        size = self.offsets[ids + 1] - first
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.bytes[np.arange(total) + np.repeat(first - (ends - size), size)].tobytes()
-
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
@@ -194,6 +212,12 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """One offset table per Python worker, for workers that only decode."""
+    return Vocabulary(path)
+
+
 def encode(text: Column | str, path: str) -> Column:
     """array<int> of a text's token ids; null and empty texts have none. Whole texts, no truncation."""
 
@@ -214,9 +238,28 @@ def decode(ids: Column | str, path: str) -> Column:
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(path)
+        own = vocabulary(path)
         for rows in batches:
             flat, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
             yield pa.array([own.decode(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)], pa.string())
 
     return texts(F.coalesce(F.col(ids) if isinstance(ids, str) else ids, F.array().cast("array<int>")))
+
+
+def round_trip(text: Column | str, path: str) -> Column:
+    """struct<ids array<int>, decoded string>: a text's token ids and what they decode to, by one worker.
+
+    As ``encode`` and then ``decode`` on its ids, but a task holds one Python worker for both.
+    """
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path)
+        for texts in batches:
+            ids = [np.frombuffer(own.encode(t.as_py()) if t.is_valid else b"", dtype="<i4") for t in texts]
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype="<i4"))
+            decoded = pa.array([own.decode(x).decode("utf-8", "replace") for x in ids], pa.string())
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), decoded], names=["ids", "decoded"])
+
+    return both(F.col(text) if isinstance(text, str) else text)
