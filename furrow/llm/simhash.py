@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.graph import components
+from furrow.operators.graph import components
 from furrow.session import cut
 
 def _majority(hashes: np.ndarray) -> bytes:
@@ -216,8 +216,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = cut(df.select(F.col(id_col).alias("_id"), fingerprint(text_col, shingle).alias("_print")))
     prints = marked.groupBy("_print").agg(F.min("_id").alias("_least"))
     # Fingerprints whose rows all lack an id still join others: their node is below any id's place.
-    nodes = cut(prints.select(F.col("_print").alias("fingerprint"), "_least", F.col("_print").alias("node")))
-    part = components(links(nodes.select("fingerprint", "node"), threshold))
+    rows = marked.count()
+    nodes = cut(prints.select(F.col("_print").alias("fingerprint"), "_least", F.col("_print").alias("node")), rows)
+    part = components(links(nodes.select("fingerprint", "node"), threshold), rows)
     named = (
         nodes.join(part, "node", "left")
         .select("fingerprint", "_least", F.coalesce("component", "node").alias("_part"))
@@ -260,7 +261,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     marked = df.select(F.col(id_col).alias("_id"), prints_of(F.col(text_col).cast("binary")).alias("_p"))
     marked = cut(marked.select("_id", "_p.*", F.xxhash64("_p.words", "_p.low", "_p.high").alias("node")))
-    nodes = cut(marked.groupBy("node").agg(F.min("_id").alias("_least"), F.min("words").alias("words"), F.min("low").alias("low"), F.min("high").alias("high")))
+    rows = marked.count()
+    nodes = cut(marked.groupBy("node").agg(F.min("_id").alias("_least"), F.min("words").alias("words"), F.min("low").alias("low"), F.min("high").alias("high")), rows)
     edges = (
         nodes.select(F.explode(_covered("words", 16)).alias("anchor"), "node", "low", "high")
         .repartition("anchor")
@@ -268,24 +270,24 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .mapInArrow(_edges(threshold), "src long, dst long")
         .distinct()
     )
-    named = nodes.join(components(edges), "node", "left").select("node", "_least", F.coalesce("component", "node").alias("_part"))
+    named = nodes.join(components(edges, rows), "node", "left").select("node", "_least", F.coalesce("component", "node").alias("_part"))
     least = named.groupBy("_part").agg(F.min("_least").alias("component_id"))
     by_node = named.join(least, "_part").select("node", "component_id")
     return marked.join(by_node, "node").select(F.col("_id").alias(id_col), "component_id")
 
 
-def keep_one(df: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_one(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with the smallest id of their group; of repeated rows of that id one stays.
 
-    ``found`` has id and component_id per row. A row without an id stays only if no row of its group
-    has one, and then one of them. Only the rows that go, and the ids that occur more than once, are
-    joined to the texts.
+    ``found`` has id and component_id per row. Rows without an id can't be named as a group's member:
+    of those one per text stays. Only the ids that go or occur more than once are joined to the texts.
     """
-    found = cut(found.select(F.col(id_col).alias("_id"), "component_id"))
-    per_id = found.groupBy("_id").agg(
-        F.count("*").alias("_n"), F.min(F.col("_id").eqNullSafe(F.col("component_id")).cast("int")).alias("_kept")
+    per_id = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
+        F.count("*").alias("_n"), F.max((F.col(id_col) == F.col("component_id")).cast("int")).alias("_kept")
     )
-    odd = per_id.where("_n > 1 or _kept = 0 or _id is null")
-    plain = df.join(odd, df[id_col].eqNullSafe(odd["_id"]), "left_anti")
-    again = per_id.where("_kept = 1 and (_n > 1 or _id is null)")
-    return plain.unionByName(df.join(again, df[id_col].eqNullSafe(again["_id"]), "left_semi").dropDuplicates([id_col]))
+    per_id = cut(per_id.where("_n > 1 or _kept = 0"), df.count())
+    known = df.where(F.col(id_col).isNotNull())
+    plain = known.join(per_id, df[id_col] == per_id["_id"], "left_anti")
+    again = per_id.where("_kept = 1")
+    once = known.join(again, df[id_col] == again["_id"], "left_semi").dropDuplicates([id_col])
+    return plain.unionByName(once).unionByName(df.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
