@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from furrow.session import cut
+
 _PRIME = 1000003
 
 
@@ -39,25 +41,47 @@ def round_robin(df: DataFrame, state: str, pool: str, pool_rank: Column, key: st
     return df.withColumn("_rn", F.row_number().over(own)).withColumn("_rank", pool_rank).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= n).drop("_rn", "_rank")
 
 
+def row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
+    """Rows numbered from 0 in a total order, without a task that holds them all.
+
+    Rows are range-partitioned and cut; the driver sees one count per partition, and each partition
+    numbers its own rows from where the one before it ends. Equal keys share a partition.
+    """
+    placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
+    if not counts:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    starts, total = [], 0
+    for part, n in counts:
+        starts += [F.lit(part), F.lit(total).cast("long")]
+        total += n
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn(name, F.create_map(*starts)[F.col("_part")] + own).drop("_part")
+
+
 def chunks(df: DataFrame, n: int, *order: str) -> DataFrame:
     """n contiguous chunks whose sizes differ by one at most, the larger ones first."""
-    return df.withColumn("chunk", F.ntile(n).over(Window.orderBy(*order)) - 1)
+    total = df.count()
+    size, more = divmod(total, n)
+    at = F.col("row_index")
+    late = F.lit(more) + F.floor((at - more * (size + 1)) / max(size, 1))
+    return row_index(df, *order).withColumn("chunk", F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(late).cast("int")).drop("row_index")
 
 
 def group_chunks(df: DataFrame, group: str, per: int) -> DataFrame:
     """Chunks of so many groups; no group is split. Only the distinct groups are numbered."""
-    names = df.select(group).distinct().withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(group)) - 1) / per))
+    names = row_index(df.select(group).distinct(), group).select(group, F.floor(F.col("row_index") / per).alias("chunk"))
     return df.join(names, group)
 
 
 def fixed_chunks(df: DataFrame, size: int, *order: str) -> DataFrame:
     """Chunks of a fixed number of rows in an order."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    return row_index(df, *order).withColumn("chunk", F.floor(F.col("row_index") / size)).drop("row_index")
 
 
 def strided(df: DataFrame, n: int, i: int, *order: str) -> DataFrame:
     """Every n-th row from the i-th on."""
-    return df.withColumn("_rn", F.row_number().over(Window.orderBy(*order))).where(F.pmod(F.col("_rn") - 1, F.lit(n)) == i).drop("_rn")
+    return row_index(df, *order).where(F.col("row_index") % n == i).drop("row_index")
 
 
 def range_shard(key: Column, size: int) -> Column:

@@ -109,10 +109,13 @@ class Tables:
 
     @cached_property
     def ts(self) -> DataFrame:
-        """Observations after the dedup on (trial, date) and the clear-fraction filter."""
+        """Observations after the dedup on (trial, date) and the clear-fraction filter.
+
+        They are dealt by trial, which serves the dedup and every aggregate per trial after it.
+        """
         from furrow.operators.filters import clear_fraction, dedup_first
 
-        return clear_fraction(dedup_first(self.ts_raw, ["trial_id", "d"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]))
+        return clear_fraction(dedup_first(self.ts_raw.repartition("trial_id"), ["trial_id", "d"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]))
 
     @cached_property
     def trial(self) -> DataFrame:

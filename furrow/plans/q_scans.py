@@ -107,8 +107,8 @@ def _lenient(t):
 
 
 query("S30 U6", "densified_store", """
-  select k.site, d.yr, m.n from (select distinct site from fx_site) k cross join (select distinct yr from fx_site) d left join (select site, yr, count(*) as n from fx_site where crop<4 group by 1,2) m on m.site=k.site and m.yr=d.yr
-""")(lambda t: (lambda s, n: t.sites.select("site").distinct().join(F.broadcast(s.select("yr").distinct())).join(n, ["site", "yr"], "left"))(t.sites, t.sites.where("crop < 4").groupBy("site", "yr").agg(F.count("*").alias("n"))))
+  with v as (select site, yr, count(*) as n from fx_site where crop<4 and (trial+site)%7<>0 or crop<1 group by 1,2) select k.site, d.yr, m.n from (select distinct site from v) k cross join (select distinct yr from v) d left join v m on m.site=k.site and m.yr=d.yr
+""")(lambda t: S.densified(t.sites.where("crop < 4 and (trial + site) % 7 <> 0 or crop < 1").groupBy("site", "yr").agg(F.count("*").alias("n")), "site", "yr", ["n"]))
 
 query("S33", "json_summary", "select concat('{\"n\":', count(*), ',\"top\":\"', max(pred), '\"}') as summary from fx_poly")(lambda t: S.summary_json(t.poly.agg(F.count("*").alias("n"), F.max("pred").alias("top"))))
 

@@ -63,8 +63,12 @@ def derived(df: DataFrame, condition: Column, renames: dict[str, str]) -> DataFr
 
 
 def densified(df: DataFrame, key: str, time: str, values: list[str]) -> DataFrame:
-    """Every key at every time that occurs anywhere, NULL where nothing was seen: the union time axis."""
-    grid = df.select(key).distinct().join(F.broadcast(df.select(time).distinct()))
+    """Every key at every time that occurs anywhere, NULL where nothing was seen: the union time axis.
+
+    The axis is one row with an array of the distinct times, of which a season has some hundred.
+    """
+    axis = df.agg(F.array_sort(F.collect_set(time)).alias("_axis"))
+    grid = df.select(key).distinct().join(F.broadcast(axis)).select(key, F.explode("_axis").alias(time))
     return grid.join(df.select(key, time, *values), [key, time], "left")
 
 
