@@ -80,12 +80,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     path = tokenizer("byte_bpe_50k.json")
     docs = _table(spark, sf_dir, "documents")
-    coded = docs.select("doc_id", bpe.encode("text", path).alias("ids"))
+    coded = docs.select("doc_id", bpe.round_trip("text", path).alias("b"))
     return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode("ids", path), 256).alias("decoded_sha256"),
+        F.size("b.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("b.ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("b.decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -126,33 +126,33 @@ def _score(trees: list[str], seen: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, votes) / len(votes)
 
 
-def findings(df: DataFrame, trees: list[str], text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
-    """``df`` with _pieces (text between candidates) and findings: array of start, end, candidate, score, is_secret.
+def findings(df: DataFrame, trees: list[str], text_col: str = "text", path_col: str = "source", threshold: float = 0.5, name: str = "findings") -> DataFrame:
+    """``df`` with _secret_pieces (text between candidates) and findings: array of start, end, candidate, score, is_secret.
 
     ``start`` (from 0) and ``end`` count code points of the whole text. Null and empty texts have no
-    findings, null paths are ''; all rows and columns stay, and the two new ones replace columns of
-    their names.
+    findings, null paths are ''; all rows and columns stay, and the new ones, of which ``name`` names
+    the second, replace columns of their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = list(_features(F.lit(""), F.lit(""), F.lit(""), F.lit("")))
-    some = F.size("_found") > 0
+    some = F.size("_secret_found") > 0
     length = lambda c: F.char_length(c)
     # Offsets: what stands before candidate k are k pieces and k - 1 candidates.
     ends = F.aggregate(
-        F.zip_with(F.slice("_pieces", F.lit(1), F.size("_found")), F.col("_found"), lambda p, c: F.struct(length(p).alias("p"), length(c).alias("c"))),
+        F.zip_with(F.slice("_secret_pieces", F.lit(1), F.size("_secret_found")), F.col("_secret_found"), lambda p, c: F.struct(length(p).alias("p"), length(c).alias("c"))),
         F.array().cast("array<bigint>"),
         lambda acc, x: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x["p"] + x["c"]).cast("bigint"))),
     )
     at = lambda k: {
-        "candidate": F.element_at("_found", k),
-        "left": F.substring(F.element_at("_pieces", k), -CONTEXT, CONTEXT),
-        "right": F.substring(F.element_at("_pieces", k + 1), 1, CONTEXT),
+        "candidate": F.element_at("_secret_found", k),
+        "left": F.substring(F.element_at("_secret_pieces", k), -CONTEXT, CONTEXT),
+        "right": F.substring(F.element_at("_secret_pieces", k + 1), 1, CONTEXT),
     }
 
     def described(k: Column) -> Column:
         own = at(k)
         seen = _features(own["candidate"], own["left"], own["right"], F.col(path_col).cast("string"))
-        end = F.element_at("_ends", k)
+        end = F.element_at("_secret_ends", k)
         return F.struct(
             (end - length(own["candidate"])).alias("start"), end.alias("end"), own["candidate"].alias("candidate"),
             F.array(*(seen[n].cast("double") for n in names)).alias("seen"),
@@ -164,13 +164,13 @@ def findings(df: DataFrame, trees: list[str], text_col: str = "text", path_col:
 
     empty = F.array().cast("array<struct<start:bigint,end:bigint,candidate:string,score:double>>")
     return (
-        df.withColumn("_found", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-        .withColumn("_pieces", F.when(some, F.split(text, CANDIDATE, -1)).otherwise(F.array(text)))
-        .withColumn("_ends", F.when(some, ends))
-        .withColumn("_described", F.when(some, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_found"), F.lit(1))), described)))
-        .withColumn("findings", F.coalesce(F.when(some, F.transform("_described", judged)), empty))
-        .withColumn("findings", F.transform("findings", lambda x: x.withField("is_secret", x["score"] > threshold)))
-        .drop("_found", "_ends", "_described")
+        df.withColumn("_secret_found", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+        .withColumn("_secret_pieces", F.when(some, F.split(text, CANDIDATE, -1)).otherwise(F.array(text)))
+        .withColumn("_secret_ends", F.when(some, ends))
+        .withColumn("_secret_described", F.when(some, F.transform(F.sequence(F.lit(1), F.greatest(F.size("_secret_found"), F.lit(1))), described)))
+        .withColumn(name, F.coalesce(F.when(some, F.transform("_secret_described", judged)), empty))
+        .withColumn(name, F.transform(name, lambda x: x.withField("is_secret", x["score"] > threshold)))
+        .drop("_secret_found", "_secret_ends", "_secret_described")
     )
 
 
@@ -182,16 +182,11 @@ def scan(df: DataFrame, trees: list[str], id_col: str = "doc_id", text_col: str
 
 def redact(df: DataFrame, trees: list[str], text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
     """``df`` with every secret in the text replaced by a mask; texts without one stay as they are, null too."""
-    found = findings(df, trees, text_col, path_col, threshold)
+    own = "_secret_list"
+    found = findings(df, trees, text_col, path_col, threshold, own)
     # Texts with one piece more than findings: piece, finding, piece, finding, ..., piece.
-    masked = F.array_join(
-        F.transform(
-            "_pieces",
-            lambda p, i: F.when(i == 0, p).otherwise(
-                F.concat(F.when(F.element_at("findings", F.greatest(i, F.lit(1)))["is_secret"], F.lit(MASK)).otherwise(F.element_at("findings", F.greatest(i, F.lit(1)))["candidate"]), p)
-            ),
-        ),
-        "",
-    )
-    any_secret = F.exists("findings", lambda x: x["is_secret"])
+    said = lambda i: F.element_at(own, F.greatest(i, F.lit(1)))
+    shown = lambda i: F.when(said(i)["is_secret"], F.lit(MASK)).otherwise(said(i)["candidate"])
+    masked = F.array_join(F.transform("_secret_pieces", lambda p, i: F.when(i == 0, p).otherwise(F.concat(shown(i), p))), "")
+    any_secret = F.exists(own, lambda x: x["is_secret"])
     return found.withColumn(text_col, F.when(any_secret, masked).otherwise(F.col(text_col))).select(*df.columns)

@@ -266,6 +266,27 @@ def test_pipeline_stages_one_by_one(spark):
     assert coded.count() == mixed.count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in coded.collect())
 
 
+def test_pipeline_stages_on_awkward_documents(spark):
+    """Nulls everywhere, blank and very long texts, repeated rows, no rows at all, and columns named like results."""
+    long = " ".join(f"w{i % 5003}" for i in range(40_000))
+    key = hashlib.sha1(b"k").hexdigest()
+    rows = [(1, long, "en", "s", 1), (1, long, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "plain words of a text without an id", None, "s", 9), (4, f'set token = "{key}" here', "en", None, 5), (None, None, None, None, None)]
+    names = ["score", "predicted", "held_out", "findings", "_pieces", "size", "target", "position", "component_id", "fingerprint", "words", "node", "ids", "n_tokens", "b"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n in names:
+        docs = docs.withColumn(n, F.lit("clash"))
+    for now in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            path = scratch(spark, "test-stage")
+            out = stage(spark, now, SF)
+            assert name == "bpe" or out.columns == docs.columns
+            assert name == "bpe" or all(r.score == r.findings == r.size == "clash" for r in out.collect())
+            out.write.parquet(path)
+            now = spark.read.schema(out.schema).parquet(path)
+            if name == "secret scan" and docs.count() and now.count():
+                assert not now.where(F.col("text").contains(key)).count()
+
+
 def test_run_gives_what_the_stages_give(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and "op6_quality_classifier" in QUERIES
