@@ -13,16 +13,34 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: Keys with more rows than this, and than a millionth of all, are hot: at most a million of them.
+HOT = 1000
+
+
+def with_least(df: DataFrame, key: str, value: str, name: str, rows: int) -> DataFrame:
+    """Rows with the smallest ``value`` of their ``key`` (long) as ``name``; no task holds all rows of a hot key.
+
+    The minima are reduced before the shuffle. Those of hot keys, which are few by definition of the
+    limit, go to every task; the rows of all other keys meet theirs in a shuffle join.
+    """
+    least = df.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("_n"))
+    limit = max(HOT, rows // 1_000_000)
+    hot = F.broadcast(least.where(F.col("_n") > limit).select(F.col(key).alias("_hot"), name))
+    cold = least.where(F.col("_n") <= limit).drop("_n")
+    spread = df.join(hot, F.col(key) == F.col("_hot")).drop("_hot")
+    rest = df.join(hot.select("_hot"), F.col(key) == F.col("_hot"), "left_anti").join(cold, key)
+    return spread.unionByName(rest)
+
+
 def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (src long, dst long); component = smallest node.
 
     ``rows``, if known, is about how many edges there are at most.
 
     Each round keeps at most as many edges as the one before and halves the depth of the trees, so
-    the rounds grow with the logarithm of a component's diameter. A hub's rows are reduced by
-    partial minima before they are shuffled; the join back to them is an ordinary sort-merge join
-    whose hot partitions adaptive execution can split. Nulls and loops are ignored; repeated edges
-    count once; an empty table gives no rows.
+    the rounds grow with the logarithm of a component's diameter. A hub's rows never meet in one
+    task (see ``with_least``). Nulls and loops are ignored; repeated edges count once; an empty
+    table gives no rows.
     """
     now = cut(
         edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
@@ -35,13 +53,12 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40)
         if not before[0]:
             break
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(low, "u")
+        known = with_least(both, "u", "v", "m", before[0])
+        large = known.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        tied = with_least(large, "u", "v", "m", before[0])
         small = (
             tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionAll(low.select("u", F.col("m").alias("v")))
+            .unionAll(tied.where("v = m").select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
         )
