@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.operators.graph import components
+from furrow.operators.graph import components, with_least
 from furrow.session import cut
 
 def _majority(hashes: np.ndarray) -> bytes:
@@ -223,9 +223,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         nodes.join(part, "node", "left")
         .select("fingerprint", "_least", F.coalesce("component", "node").alias("_part"))
     )
-    least = named.groupBy("_part").agg(F.min("_least").alias("component_id"))
     # One row per fingerprint; a hot fingerprint's rows are split by adaptive execution.
-    by_print = named.join(least, "_part").select(F.col("fingerprint").alias("_print"), "component_id")
+    by_print = with_least(named, "_part", "_least", "component_id", rows).select(F.col("fingerprint").alias("_print"), "component_id")
     return marked.join(by_print, "_print").select(F.col("_id").alias(id_col), F.col("_print").alias("fingerprint"), "component_id")
 
 
@@ -271,8 +270,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .distinct()
     )
     named = nodes.join(components(edges, rows), "node", "left").select("node", "_least", F.coalesce("component", "node").alias("_part"))
-    least = named.groupBy("_part").agg(F.min("_least").alias("component_id"))
-    by_node = named.join(least, "_part").select("node", "component_id")
+    by_node = with_least(named, "_part", "_least", "component_id", rows).select("node", "component_id")
     return marked.join(by_node, "node").select(F.col("_id").alias(id_col), "component_id")
 
 
