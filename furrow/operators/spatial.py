@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from furrow.functions.scalars import haversine
+from furrow.session import cut
+
 
 def _cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> DataFrame:
     """A row for every cell that a closed box touches."""
@@ -81,3 +84,34 @@ def neighbours(df: DataFrame, kx: str = "kx", ky: str = "ky", reach: int = 1) ->
 def owner_cell(v: Column, size: float) -> Column:
     """The lattice cell that owns a coordinate."""
     return F.floor(v / size)
+
+
+def nearest_different(df: DataFrame, key: str, group: str, label: str, lon: str = "lon", lat: str = "lat", cell: float = 0.5, levels: int = 5) -> DataFrame:
+    """Per row the distance in metres to the nearest row of its group with another label; NULL if there is none.
+
+    Rows meet in the 3 by 3 cells around them. A distance is final when nothing outside those cells
+    can be nearer; rows without one go on to cells four times as wide, of which the last hold
+    everything. So a dense group costs its neighbourhoods, not all its pairs.
+    """
+    todo = df.select(key, group, label, F.col(lon).alias("_lon"), F.col(lat).alias("_lat"))
+    there = todo.select(F.col(group).alias("_g"), F.col(label).alias("_other"), F.col("_lon").alias("_x"), F.col("_lat").alias("_y"))
+    done: DataFrame | None = None
+    for level in range(levels):
+        c = cell * 4**level if level < levels - 1 else 720.0
+        at = lambda x: F.floor(x / c)  # noqa: B023, E731
+        around = neighbours(todo.withColumns({"_cx": at(F.col("_lon")), "_cy": at(F.col("_lat"))}), "_cx", "_cy")
+        own = todo.withColumns({"nx": at(F.col("_lon")), "ny": at(F.col("_lat"))})
+        cells = around.drop("_cx", "_cy").unionByName(own)
+        other = there.withColumns({"_nx": at(F.col("_x")), "_ny": at(F.col("_y"))})
+        on = (F.col("nx") == F.col("_nx")) & (F.col("ny") == F.col("_ny")) & (F.col(group) == F.col("_g")) & (F.col(label) != F.col("_other"))
+        met = cells.join(other, on).groupBy(key).agg(F.min(haversine(F.col("_lon"), F.col("_lat"), F.col("_x"), F.col("_y"))).alias("nearest_m"))
+        found = cut(todo.join(met, key, "left"))
+        # What lies outside the nine cells is at least a cell's width away, along a meridian or a parallel.
+        safe = c * 111_000.0 * F.cos(F.radians(F.least(F.abs(F.col("_lat")) + c, F.lit(89.9))))
+        final = F.lit(True) if level == levels - 1 else F.coalesce(F.col("nearest_m") <= safe, F.lit(False))
+        part = found.where(final).select(key, "nearest_m")
+        done = part if done is None else done.unionByName(part)
+        todo = found.where(~final).drop("nearest_m")
+        if todo.isEmpty():
+            break
+    return done

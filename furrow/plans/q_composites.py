@@ -275,7 +275,7 @@ def _flat(t):
 
 
 query("C39", "site_scoring", """
-  with s as (select poly_id*10+3 as trial, (x0+x1)/2.0::double as x, y0+0.5::double as y, case (poly_id*7)%3 when 0 then 'Canola' when 1 then 'Cereal' else 'Legume' end as truth from fx_poly where poly_id%3<>1),
+  with s as (select poly_id*10+3 as trial, (x0+x1)/2.0::double as x, y0+0.5::double as y, case (poly_id*7)%3 when 0 then 'Canola' when 1 then 'Cereal' else 'Legume' end as truth from fx_poly),
   m as (select s.trial, s.truth, p.pred, coalesce(p.abstain_reason,'') as reason, p.area_ha, row_number() over (partition by s.trial order by (floor(s.x/20)=p.kx and floor(s.y/20)=p.ky) desc, p.area_ha desc, p.poly_id) as rn from s left join fx_poly p on s.x>=p.x0 and s.x<p.x1 and s.y>=p.y0 and s.y<p.y1),
   o as (select * from m where rn=1), k as (select truth as cls, count(*) as n_sites, count(*) filter (pred is not null and reason='') as n_scored, count(*) filter (pred=truth and reason='') as hits from o group by 1)
   select cls, n_sites, n_scored, hits, round(hits/nullif(cast(n_scored as double),0),6) as recall, round(hits/cast(n_sites as double),6) as adjusted_recall from k
@@ -284,7 +284,7 @@ query("C39", "site_scoring", """
 
 def _site_scores(t):
     k = F.col("poly_id")
-    pts = t.poly.where("poly_id % 3 <> 1").select((k * 10 + 3).alias("trial"), ((F.col("x0") + F.col("x1")) / 2.0).alias("x"), (F.col("y0") + 0.5).alias("y"), F.when(k * 7 % 3 == 0, "Canola").when(k * 7 % 3 == 1, "Cereal").otherwise("Legume").alias("cls"))
+    pts = t.poly.select((k * 10 + 3).alias("trial"), ((F.col("x0") + F.col("x1")) / 2.0).alias("x"), (F.col("y0") + 0.5).alias("y"), F.when(k * 7 % 3 == 0, "Canola").when(k * 7 % 3 == 1, "Cereal").otherwise("Legume").alias("cls"))
     owner = (F.floor(F.col("x") / 20) == F.col("kx")) & (F.floor(F.col("y") / 20) == F.col("ky"))
     one = J.one_each(J.point_in_box(pts, t.poly, "left"), ["trial"], owner.desc_nulls_last(), F.col("area_ha").desc_nulls_last(), F.col("poly_id").asc_nulls_last())
     ok = F.col("pred").isNotNull() & (F.coalesce("abstain_reason", F.lit("")) == "")

@@ -55,8 +55,8 @@ query("F17 F18 F19 F20 X26", "column_contract", """
 
 query("F23 T5", "risk_flags", """
   select poly_id, score, flags from (select poly_id, (case when area_ha<0.4 then 3 else 0 end)+(case when poly_id%4=0 then 3 else 0 end)+(case when coalesce(abstain_reason<>'',false) then 2 else 0 end)+(case when pred='Legume' then 1 else 0 end) as score,
-    concat_ws(',', case when area_ha<0.4 then 'small' end, case when poly_id%4=0 then 'seam' end, case when abstain_reason<>'' then 'abstained' end, case when pred='Legume' then 'legume' end) as flags from fx_poly) order by score desc, poly_id limit 100
-""")(lambda t: (lambda s, n: t.poly.select("poly_id", s.alias("score"), n.alias("flags")).orderBy(F.col("score").desc(), "poly_id").limit(100))(*P.risk({
+    concat_ws(',', case when area_ha<0.4 then 'small' end, case when poly_id%4=0 then 'seam' end, case when abstain_reason<>'' then 'abstained' end, case when pred='Legume' then 'legume' end) as flags from fx_poly) order by score desc, poly_id
+""")(lambda t: (lambda s, n: t.poly.select("poly_id", s.alias("score"), n.alias("flags")).orderBy(F.col("score").desc(), "poly_id"))(*P.risk({
     "small": (F.col("area_ha") < 0.4, 3), "seam": (F.col("poly_id") % 4 == 0, 3), "abstained": (F.col("abstain_reason") != "", 2), "legume": (F.col("pred") == "Legume", 1)})))
 
 query("F24", "triage_reasons", """

@@ -32,12 +32,12 @@ query("J9", "lookup_map", "select trial, n_name as place from fx_site left join
     lambda t: t.sites.join(t.nation.select(F.col("n_nationkey").alias("site"), F.col("n_name").alias("place")), "site", "left").select("trial", "place"))
 
 query("J10 C23", "change_status", """
-  with o as (select trial, crop%3 as g from fx_site where trial%5<>0), n as (select trial, case when trial%4=0 then (crop+1)%3 else crop%3 end as g from fx_site)
+  with o as (select trial, crop%3 as g from fx_site where bal>-500), n as (select trial, case when trial%4=0 then (crop+1)%3 else crop%3 end as g from fx_site)
   select n.trial, n.g, case when o.trial is null then 'new' when o.g=n.g then 'unchanged' else 'changed' end as status from n left join o on n.trial=o.trial
-""")(lambda t: J.changes(t.sites.where("trial % 5 <> 0").select("trial", (F.col("crop") % 3).alias("g")), t.sites.select("trial", F.when(F.col("trial") % 4 == 0, (F.col("crop") + 1) % 3).otherwise(F.col("crop") % 3).alias("g")), "trial", "g"))
+""")(lambda t: J.changes(t.sites.where("bal > -500").select("trial", (F.col("crop") % 3).alias("g")), t.sites.select("trial", F.when(F.col("trial") % 4 == 0, (F.col("crop") + 1) % 3).otherwise(F.col("crop") % 3).alias("g")), "trial", "g"))
 
 query("J21", "claim_aware_matching")(lambda t: J.claim_matching(
-    t.sites.where("trial < 400").select((F.col("site") % 5).alias("aoi"), "yr", "trial", (F.col("crop") % 3).alias("kind"), F.explode(F.array((F.col("trial") % 50), (F.col("trial") % 50) + 1, (F.col("trial") % 50) + 2)).alias("poly_idx")),
+    t.sites.select((F.col("site") % 5).alias("aoi"), "yr", "trial", (F.col("crop") % 3).alias("kind"), F.explode(F.array((F.col("trial") % 50), (F.col("trial") % 50) + 1, (F.col("trial") % 50) + 2)).alias("poly_idx")),
     ["aoi", "yr"], ["trial", "poly_idx"], "trial", "poly_idx", "kind", "aoi int, yr int, trial long, kind long, poly_idx long"))
 
 query("J31", "first_donor", """
@@ -45,8 +45,8 @@ query("J31", "first_donor", """
 """)(lambda t: J.first_donor(t.poly_year.where("yr = 2018").select("poly_id", "yr"), t.poly_year.where("yr <> 2018").select("poly_id", F.col("yr").alias("donor_yr"), (F.abs(F.col("yr") - 2019) * 10000 + F.col("yr")).alias("rank")), ["poly_id"], "rank").drop("rank"))
 
 query("J32", "reviewer_overlap", """
-  select count(*) as n_both, count(*) filter (a.v=b.v) as n_same from (select trial, crop%2 as v from fx_site where trial%3=0) a join (select trial, (crop+trial)%2 as v from fx_site where trial%2=0) b using (trial)
-""")(lambda t: J.overlap_agreement(t.sites.where("trial % 3 = 0").select("trial", (F.col("crop") % 2).alias("v")), t.sites.where("trial % 2 = 0").select("trial", ((F.col("crop") + F.col("trial")) % 2).alias("v")), "trial", "v"))
+  select count(*) as n_both, count(*) filter (a.v=b.v) as n_same from (select trial, crop%2 as v from fx_site where bal>0) a join (select trial, (crop+trial)%2 as v from fx_site where crop<5) b using (trial)
+""")(lambda t: J.overlap_agreement(t.sites.where("bal > 0").select("trial", (F.col("crop") % 2).alias("v")), t.sites.where("crop < 5").select("trial", ((F.col("crop") + F.col("trial")) % 2).alias("v")), "trial", "v"))
 
 query("U1", "union_by_name", "select c_custkey as k, c_acctbal as bal, null as size from customer union all select p_partkey, null, p_size from part")(
     lambda t: t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal")).unionByName(t.part.select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size")), allowMissingColumns=True))

@@ -57,9 +57,9 @@ query("A39", "wilson_interval", """
 """)(lambda t: (lambda w: t.sites.groupBy("stratum").agg(F.count_if(F.col("bal") > 0).alias("k"), F.count("*").alias("n")).select("stratum", "k", "n", r6(w[0]).alias("low"), r6(w[1]).alias("high")))(M.wilson(F.col("k"), F.col("n"))))
 
 query("A40 C26", "stratified_extrapolation", """
-  with p as (select stratum, count(*) as population from fx_site group by 1), r as (select stratum, count(*) as reviewed, avg(case when bal>0 then 1.0::double else 0 end) as rate from fx_site where trial%7=0 group by 1)
+  with p as (select stratum, count(*) as population from fx_site group by 1), r as (select stratum, count(*) as reviewed, avg(case when bal>0 then 1.0::double else 0 end) as rate from fx_site where crop<2 group by 1)
   select stratum, population, reviewed, round(rate,6) as rate, round(population*(1-rate),4) as expected_bad from p join r using (stratum)
-""")(lambda t: t.sites.groupBy("stratum").agg(F.count("*").alias("population"), F.count_if(F.col("trial") % 7 == 0).alias("reviewed"), F.avg(F.when(F.col("trial") % 7 == 0, (F.col("bal") > 0).cast("double"))).alias("rate")).where("reviewed > 0").select(
+""")(lambda t: t.sites.groupBy("stratum").agg(F.count("*").alias("population"), F.count_if(F.col("crop") < 2).alias("reviewed"), F.avg(F.when(F.col("crop") < 2, (F.col("bal") > 0).cast("double"))).alias("rate")).where("reviewed > 0").select(
     "stratum", "population", "reviewed", r6("rate").alias("rate"), F.round(F.col("population") * (1 - F.col("rate")), 4).alias("expected_bad")))
 
 query("A41", "regression_errors", """

@@ -17,8 +17,8 @@ def _mix(k: str, s: int = 0) -> str:
 query("T1", "locality_order", "select gx, gy, cast(floor(gx/2.0) as bigint) as bx, cast(floor(gy/2.0) as bigint) as by_ from fx_tile")(
     lambda t: S.local_order(t.tiles.select("gx", "gy", F.floor(F.col("gx") / 2).alias("bx"), F.floor(F.col("gy") / 2).alias("by_")), "bx", "by_", "gx", "gy"))
 
-query("T2", "parsed_key_order", "select stub from (select distinct concat('r', gy, 'c', gx) as stub, gx, gy from fx_tile) order by gy, gx limit 20")(
-    lambda t: t.tiles.select(F.concat(F.lit("r"), "gy", F.lit("c"), "gx").alias("stub")).orderBy(F.regexp_extract("stub", r"r(-?\d+)c", 1).cast("int"), F.regexp_extract("stub", r"c(-?\d+)$", 1).cast("int")).limit(20))
+query("T2", "parsed_key_order", "select stub from (select distinct concat('r', gy, 'c', gx) as stub, gx, gy from fx_tile) order by gy, gx")(
+    lambda t: t.tiles.select(F.concat(F.lit("r"), "gy", F.lit("c"), "gx").alias("stub")).orderBy(F.regexp_extract("stub", r"r(-?\d+)c", 1).cast("int"), F.regexp_extract("stub", r"c(-?\d+)$", 1).cast("int")))
 
 query("T3 T15", "top_k", "select region, round(sum(ha),4) as ha from fx_mapped group by 1 order by 2 desc, 1 limit 5")(
     lambda t: t.mapped.groupBy("region").agg(F.round(F.sum("ha"), 4).alias("ha")).orderBy(F.col("ha").desc(), "region").limit(5))
@@ -35,8 +35,8 @@ query("T8", "rarest_flag_sample", f"""
   with f as (select trial, case when crop=0 then 'canola' when bal<0 then 'debt' else stratum end as stratum from fx_site) select trial, stratum from (select *, row_number() over (partition by stratum order by {_mix('trial')}, trial) as rn from f) where rn<=7
 """)(lambda t: S.stratified(t.sites.drop("stratum").join(t.sites.select("trial", F.col("stratum").alias("s")), "trial"), F.when(F.col("crop") == 0, "canola").when(F.col("bal") < 0, "debt").otherwise(F.col("s")), "trial", 7).select("trial", "stratum"))
 
-query("T9", "cluster_sample", "select distinct t.gx+i as gx, t.gy+j as gy from fx_tile t, (select unnest(range(3)) as i), (select unnest(range(3)) as j) where (t.gx*3+t.gy)%5=0 and (t.gx+i, t.gy+j) in (select gx, gy from fx_tile)")(
-    lambda t: S.cluster_blocks(t.tiles.where("(gx * 3 + gy) % 5 = 0"), 3, t.tiles, "gx", "gy"))
+query("T9", "cluster_sample", f"select distinct t.gx+i as gx, t.gy+j as gy from fx_tile t, (select unnest(range(3)) as i), (select unnest(range(3)) as j) where {_mix('((t.gx+50)*1000+t.gy+50)', 2)}<0.2 and (t.gx+i, t.gy+j) in (select gx, gy from fx_tile)")(
+    lambda t: S.cluster_blocks(t.tiles.where(S.mixed((F.col("gx") + 50) * 1000 + F.col("gy") + 50, 2) < 0.2), 3, t.tiles, "gx", "gy"))
 
 query("T10", "contiguous_chunks", "select chunk, count(*) as n, min(poly_id) as first_id from (select poly_id, ntile(7) over (order by poly_id)-1 as chunk from fx_poly) group by 1")(
     lambda t: S.chunks(t.poly, 7, "poly_id").groupBy("chunk").agg(F.count("*").alias("n"), F.min("poly_id").alias("first_id")))
@@ -46,8 +46,8 @@ query("T11", "group_chunks", "select poly_id, cast(floor((dense_rank() over (ord
 query("T12 T13", "fixed_chunks_and_stride", "select poly_id, (row_number() over (order by poly_id)-1)//100 as chunk from fx_poly qualify (row_number() over (order by poly_id)-1)%4=1")(
     lambda t: S.strided(S.fixed_chunks(t.poly, 100, "poly_id"), 4, 1, "poly_id").select("poly_id", "chunk"))
 
-query("T14 S37", "range_shards", "select cast(floor((poly_id-1)/40.0) as bigint) as shard, count(*) as n from fx_poly where poly_id%9<>0 group by 1")(
-    lambda t: t.poly.where("poly_id % 9 <> 0").groupBy(S.range_shard(F.col("poly_id"), 40).alias("shard")).agg(F.count("*").alias("n")))
+query("T14 S37", "range_shards", "select cast(floor((poly_id-1)/40.0) as bigint) as shard, count(*) as n from fx_poly group by 1")(
+    lambda t: t.poly.groupBy(S.range_shard(F.col("poly_id"), 40).alias("shard")).agg(F.count("*").alias("n")))
 
 query("T16", "random_retention", f"select r as draw, count(*) as n from fx_site, (select unnest(range(4)) as r) where {_mix('trial', 'r')}<0.3 group by 1")(
     lambda t: t.sites.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).where(((lambda a: (a * a + F.col("trial") * 31) % 1000003 / 1000003.0)((F.col("trial") * 7919 + F.col("draw") * 104729 + 17) % 1000003)) < 0.3).groupBy("draw").agg(F.count("*").alias("n")))

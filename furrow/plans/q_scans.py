@@ -78,16 +78,16 @@ def _envelopes(t):
     return _layer(t, "fid long, geom binary").selectExpr("fid", "st_minx(geom) as minx", "st_miny(geom) as miny", "st_maxx(geom) as maxx", "st_maxy(geom) as maxy", "st_srid(geom) as srid")
 
 
-query("S14 S15", "geopackage_lookup", "select poly_id as fid, pred from fx_poly where poly_id in (select poly_id from fx_poly where poly_id%17=0)")(
-    lambda t: _layer(t, "fid long, pred string").join(t.poly.where("poly_id % 17 = 0").select(F.col("poly_id").alias("fid")), "fid", "left_semi"))
+query("S14 S15", "geopackage_lookup", "select poly_id as fid, pred from fx_poly where poly_id in (select poly_id from fx_poly where abstain_reason='no_crop_signal')")(
+    lambda t: _layer(t, "fid long, pred string").join(t.poly.where("abstain_reason = 'no_crop_signal'").select(F.col("poly_id").alias("fid")), "fid", "left_semi"))
 
 query("S17", "rewritten_layer", """
-  select poly_id, case when poly_id%5=1 then 'Merged' else pred end as pred, case when poly_id%5=1 then 2 end as merge_n from fx_poly where poly_id%7<>0 union all select 100000+poly_id, pred, 3 from fx_poly where poly_id<10
-""")(lambda t: S.rewritten(t.poly.select("poly_id", "pred"), "poly_id", t.poly.where("poly_id % 7 = 0"), t.poly.where("poly_id % 5 = 1").select("poly_id", F.lit("Merged").alias("pred"), F.lit(2).alias("merge_n")),
-    t.poly.where("poly_id < 10").select((F.col("poly_id") + 100000).alias("poly_id"), "pred", F.lit(3).alias("merge_n"))))
+  select poly_id, case when pred='Legume' then 'Merged' else pred end as pred, case when pred='Legume' then 2 end as merge_n from fx_poly where abstain_reason is distinct from 'area_below_min' union all select 100000+poly_id, pred, 3 from fx_poly where abstain_reason is null
+""")(lambda t: S.rewritten(t.poly.select("poly_id", "pred"), "poly_id", t.poly.where("abstain_reason = 'area_below_min'"), t.poly.where("pred = 'Legume'").select("poly_id", F.lit("Merged").alias("pred"), F.lit(2).alias("merge_n")),
+    t.poly.where("abstain_reason is null").select((F.col("poly_id") + 100000).alias("poly_id"), "pred", F.lit(3).alias("merge_n"))))
 
-query("S18 S40", "stacked_layers", "select poly_id, pred, cast(null as bigint) as kx from fx_poly where poly_id%2=0 union all select poly_id, null, kx from fx_poly where poly_id%2=1 and kx in (1,2)")(
-    lambda t: S.stacked([t.poly.where("poly_id % 2 = 0").select("poly_id", "pred"), t.poly.where("poly_id % 2 = 1 and kx in (1, 2)").select("poly_id", "kx")]))
+query("S18 S40", "stacked_layers", "select poly_id, pred, cast(null as bigint) as kx from fx_poly where pred='Canola' union all select poly_id, null, kx from fx_poly where pred<>'Canola' and kx in (1,2)")(
+    lambda t: S.stacked([t.poly.where("pred = 'Canola'").select("poly_id", "pred"), t.poly.where("pred <> 'Canola' and kx in (1, 2)").select("poly_id", "kx")]))
 
 query("S19", "derived_products", "select poly_id, pred as predicted_crop_type, area_ha as hectares from fx_poly where coalesce(abstain_reason,'')='' and area_ha>=0.5")(
     lambda t: S.derived(t.poly.select("poly_id", "pred", "area_ha", "abstain_reason"), (F.coalesce("abstain_reason", F.lit("")) == "") & (F.col("area_ha") >= 0.5), {"pred": "predicted_crop_type", "area_ha": "hectares"}).drop("abstain_reason"))
@@ -107,18 +107,18 @@ def _lenient(t):
 
 
 query("S30 U6", "densified_store", """
-  with v as (select site, yr, count(*) as n from fx_site where crop<4 and (trial+site)%7<>0 or crop<1 group by 1,2) select k.site, d.yr, m.n from (select distinct site from v) k cross join (select distinct yr from v) d left join v m on m.site=k.site and m.yr=d.yr
-""")(lambda t: S.densified(t.sites.where("crop < 4 and (trial + site) % 7 <> 0 or crop < 1").groupBy("site", "yr").agg(F.count("*").alias("n")), "site", "yr", ["n"]))
+  with v as (select site, yr, count(*) as n from fx_site where bal>9500 group by 1,2) select k.site, d.yr, m.n from (select distinct site from v) k cross join (select distinct yr from v) d left join v m on m.site=k.site and m.yr=d.yr
+""")(lambda t: S.densified(t.sites.where("bal > 9500").groupBy("site", "yr").agg(F.count("*").alias("n")), "site", "yr", ["n"]))
 
 query("S33", "json_summary", "select concat('{\"n\":', count(*), ',\"top\":\"', max(pred), '\"}') as summary from fx_poly")(lambda t: S.summary_json(t.poly.agg(F.count("*").alias("n"), F.max("pred").alias("top"))))
 
-query("S34", "log_epilogue", "select concat('job', o_orderkey) as file, cast(o_orderkey%2 as integer) as exit_status, round(o_totalprice,1) as service_units, '01:02:03' as walltime from orders where o_orderkey<200")(lambda t: _logs(t))
+query("S34", "log_epilogue", "select concat('job', o_orderkey) as file, cast(o_orderkey%2 as integer) as exit_status, round(o_totalprice,1) as service_units, '01:02:03' as walltime from orders")(lambda t: _logs(t))
 
 
 def _logs(t):
     k = F.col("o_orderkey")
     lines = F.array(F.concat(F.lit("  Exit Status:        "), k % 2), F.concat(F.lit("  Service Units:      "), F.format_string("%.1f", F.round("o_totalprice", 1))), F.lit("  Walltime Used: 01:02:03"), F.lit("noise"))
-    return S.epilogue(t.orders.where("o_orderkey < 200").select(F.concat(F.lit("job"), k).alias("file"), F.explode(lines).alias("value")))
+    return S.epilogue(t.orders.select(F.concat(F.lit("job"), k).alias("file"), F.explode(lines).alias("value")))
 
 
 query("S37", "sharded_export", "select poly_id, pred as PRED_CROP, area_ha as HECTARES, cast(floor(poly_id/100.0) as integer) as shard from fx_poly")(lambda t: _shards(t))
@@ -145,12 +145,12 @@ def _sheet(t):
     return parse_sheet(t.spark, rows)
 
 
-query("S28 S26 S25", "cells_round_trip", "select kx, ky, px, py, poly_id from fx_px where poly_id%5=0")(lambda t: _cells(t))
+query("S28 S26 S25", "cells_round_trip", "select kx, ky, px, py, poly_id from fx_px")(lambda t: _cells(t))
 
 
 def _cells(t):
     path = scratch(t.spark, "cells")
-    t.px.where("poly_id % 5 = 0").select("poly_id", "kx", "ky", "px", "py").write.partitionBy("kx", "ky").parquet(path)
+    t.px.select("poly_id", "kx", "ky", "px", "py").write.partitionBy("kx", "ky").parquet(path)
     return t.spark.read.schema("poly_id long, px long, py long, kx long, ky long").parquet(path).select("kx", "ky", "px", "py", "poly_id")
 
 
@@ -159,10 +159,10 @@ query("UD2", "longest_run", """
   select user_id, cast(coalesce(max(n),0) as integer) as longest from (select distinct user_id from events) left join (select user_id, count(*) as n from g where f group by user_id, g) using (user_id) group by 1
 """)(lambda t: t.events.groupBy("user_id").agg(udfs.longest_run(F.col("event_type") == "error", F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("longest")))
 
-query("UD3", "aoi_table_function", "select trial, i, j, round(lon+(i-1)*0.1,6) as lon, round(lat+(j-1)*0.1,6) as lat from fx_site, (select unnest(range(3)) as i), (select unnest(range(3)) as j) where trial<200")(lambda t: _aois(t))
+query("UD3", "aoi_table_function", "select trial, i, j, round(lon+(i-1)*0.1,6) as lon, round(lat+(j-1)*0.1,6) as lat from fx_site, (select unnest(range(3)) as i), (select unnest(range(3)) as j) ")(lambda t: _aois(t))
 
 
 def _aois(t):
     udfs.aois_table(t.spark)
-    t.sites.where("trial < 200").createOrReplaceTempView("furrow_sites")
+    t.sites.createOrReplaceTempView("furrow_sites")
     return t.spark.sql("select trial, a.i, a.j, round(a.lon, 6) as lon, round(a.lat, 6) as lat from furrow_sites, lateral aois(lon, lat, 3, 0.1D) a")

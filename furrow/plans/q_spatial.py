@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.functions.scalars import albers, box_degrees, ellipsoid_cell_area, haversine, quadkey, r6, slippy_tile
+from furrow.functions.scalars import albers, box_degrees, ellipsoid_cell_area, quadkey, r6, slippy_tile
 from furrow.operators import geometry as G
 from furrow.operators import spatial as J
 from furrow.plans.registry import query
@@ -42,8 +42,8 @@ query("G9", "coverage_by_many", """
 query("G10", "union_area", "select kx, count(*) as n_px from (select distinct kx, px, py from fx_px) group by 1")(lambda t: G.union(t.px, "kx").groupBy("kx").agg(F.count("*").alias("n_px")))
 
 query("G12", "difference_area", """
-  select poly_id, count(*) as n_left from fx_px p where poly_id%2=1 and not exists (select 1 from fx_px o where o.poly_id%2=0 and o.px=p.px and o.py=p.py) group by 1
-""")(lambda t: G.difference(t.px.where("poly_id % 2 = 1"), t.px.where("poly_id % 2 = 0")).groupBy("poly_id").agg(F.count("*").alias("n_left")))
+  select poly_id, count(*) as n_left from fx_px p where not exists (select 1 from fx_poly_year o where o.yr=2019 and p.px>=o.x0 and p.px<o.x1 and p.py>=o.y0 and p.py<o.y1) group by 1
+""")(lambda t: G.difference(t.px, G.pixels(t.poly_year.where("yr = 2019"))).groupBy("poly_id").agg(F.count("*").alias("n_left")))
 
 query("G13", "erosion", "select poly_id, case when (x1-x0-2)*(y1-y0-2)>0 then (x1-x0-2)*(y1-y0-2) else (x1-x0)*(y1-y0) end as n_px from fx_poly")(
     lambda t: G.eroded_or_whole(t.px).groupBy("poly_id").agg(F.count("*").alias("n_px")))
@@ -51,11 +51,11 @@ query("G13", "erosion", "select poly_id, case when (x1-x0-2)*(y1-y0-2)>0 then (x
 query("G14 G15", "dilation", "select poly_id, (x1-x0+4)*(y1-y0+4) as n_px from fx_poly")(lambda t: G.dilated(t.px, rings=2).groupBy("poly_id").agg(F.count("*").alias("n_px")))
 
 query("G11", "largest_part", """
-  with recursive u as (select distinct ky as g, px, py from fx_px where poly_id<120), n as (select g, px, py, row_number() over (order by g, px, py) as id from u),
+  with recursive u as (select distinct ky as g, px, py from fx_px), n as (select g, px, py, row_number() over (order by g, px, py) as id from u),
   e as (select a.id as a, b.id as b from n a join n b on a.g=b.g and abs(a.px-b.px)+abs(a.py-b.py)=1), r as (select id, id as c from n union select e.b, r.c from r join e on r.id=e.a where r.c<e.b),
   l as (select id, min(c) as c from r group by 1), p as (select n.g, l.c, count(*) as k from n join l using (id) group by 1,2)
   select g as ky, count(*) as n_parts, max(k) as largest_px, sum(k)::bigint as n_px from p group by 1
-""")(lambda t: G.parts(G.union(t.px.where("poly_id < 120"), "ky"), "ky").groupBy("ky").agg(F.count("*").alias("n_parts"), F.max("n_px").alias("largest_px"), F.sum("n_px").alias("n_px")))
+""")(lambda t: G.parts(G.union(t.px, "ky"), "ky").groupBy("ky").agg(F.count("*").alias("n_parts"), F.max("n_px").alias("largest_px"), F.sum("n_px").alias("n_px")))
 
 query("G16", "edge_length", """
   select poly_id, 10*((case when x0%20=0 then y1-y0 else 0 end)+(case when x1%20=0 then y1-y0 else 0 end)+(case when y0%20=0 then x1-x0 else 0 end)+(case when y1%20=0 then x1-x0 else 0 end)) as edge_m from fx_poly
@@ -120,12 +120,12 @@ def _points(t):
 
 _PTS = "(select poly_id as pt, yr, (x0+x1)/2.0::double as x, (y0+y1)/2.0::double as y from fx_poly_year)"
 query("J12", "point_in_polygon_one", f"""
-  select pt, yr, min(p.poly_id) as poly_id from {_PTS} y left join fx_poly p on p.poly_id%3<>0 and y.x>=p.x0 and y.x<p.x1 and y.y>=p.y0 and y.y<p.y1 group by 1,2
-""")(lambda t: J.one_each(J.point_in_box(_points(t), t.poly.where("poly_id % 3 != 0").select("poly_id", "x0", "y0", "x1", "y1"), "left"), ["pt", "yr"], F.col("poly_id").asc_nulls_last()).select("pt", "yr", "poly_id"))
+  select pt, yr, min(p.poly_id) as poly_id from {_PTS} y left join fx_poly p on y.x>=p.x0 and y.x<p.x1 and y.y>=p.y0 and y.y<p.y1 group by 1,2
+""")(lambda t: J.one_each(J.point_in_box(_points(t), t.poly.select("poly_id", "x0", "y0", "x1", "y1"), "left"), ["pt", "yr"], F.col("poly_id").asc_nulls_last()).select("pt", "yr", "poly_id"))
 
 query("J13", "intersects_aoi", """
-  select p.poly_id, t.gx, t.gy from fx_poly p join fx_tile t on (t.gx+t.gy)%2=0 and p.x0<t.gx*20+20 and p.x1>t.gx*20 and p.y0<t.gy*20+20 and p.y1>t.gy*20
-""")(lambda t: J.box_pairs(t.poly.select("poly_id", "x0", "y0", "x1", "y1"), t.tiles.where("(gx + gy) % 2 = 0").select("gx", "gy", (F.col("gx") * 20).alias("x0"), (F.col("gy") * 20).alias("y0"), (F.col("gx") * 20 + 20).alias("x1"), (F.col("gy") * 20 + 20).alias("y1"))).select(
+  select p.poly_id, t.gx, t.gy from fx_poly p join fx_tile t on p.x0<t.gx*20+20 and p.x1>t.gx*20 and p.y0<t.gy*20+20 and p.y1>t.gy*20
+""")(lambda t: J.box_pairs(t.poly.select("poly_id", "x0", "y0", "x1", "y1"), t.tiles.select("gx", "gy", (F.col("gx") * 20).alias("x0"), (F.col("gy") * 20).alias("y0"), (F.col("gx") * 20 + 20).alias("x1"), (F.col("gy") * 20 + 20).alias("y1"))).select(
     F.col("a_poly_id").alias("poly_id"), F.col("b_gx").alias("gx"), F.col("b_gy").alias("gy")))
 
 _IOU = "inter_px/cast(area_a+area_b-inter_px as double)"
@@ -140,12 +140,22 @@ def _iou_pairs(t):
     return poly_pairs(t, F.col("a_poly_id") != F.col("b_poly_id")).select(F.col("a_poly_id").alias("a"), F.col("b_poly_id").alias("b"), "inter_px", (i / (size("a") + size("b") - i).cast("double")).alias("iou"), (i / size("a").cast("double")).alias("share_a"))
 
 
-query("J17", "best_match_both_ways", f"""
-  with p as (select a, b, inter_px, inter_px/cast(area_a as double) as s from ({PAIRS}) where a%2=0 and b%2=1), q as (select a, b, inter_px, inter_px/cast(area_b as double) as s from ({PAIRS}) where a%2=0 and b%2=1)
-  select 'ab' as way, a as src, b as dst, round(s,6) as share from (select *, row_number() over (partition by a order by s desc, b) as rn from p) where rn=1
-  union all select 'ba', b, a, round(s,6) from (select *, row_number() over (partition by b order by s desc, a) as rn from q) where rn=1
-""")(lambda t: (lambda p: J.best_match(p.where("a % 2 = 0 and b % 2 = 1"), "a", "share_a", "b").select(F.lit("ab").alias("way"), F.col("a").alias("src"), F.col("b").alias("dst"), r6("share_a").alias("share")).unionAll(
-    J.best_match(p.where("a % 2 = 1 and b % 2 = 0"), "a", "share_a", "b").select(F.lit("ba"), "a", "b", r6("share_a"))))(_iou_pairs(t)))
+query("J17", "best_match_both_ways", """
+  with p as (select a.poly_id as a, b.poly_id as b, (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0))*1.0::double as i, (a.x1-a.x0)*(a.y1-a.y0) as na, (b.x1-b.x0)*(b.y1-b.y0) as nb
+    from fx_poly a join fx_poly_year b on b.yr=2020 and a.x0<b.x1 and b.x0<a.x1 and a.y0<b.y1 and b.y0<a.y1)
+  select 'ab' as way, a as src, b as dst, round(i/na,6) as share from (select *, row_number() over (partition by a order by i/na desc, b) as rn from p) where rn=1
+  union all select 'ba', b, a, round(i/nb,6) from (select *, row_number() over (partition by b order by i/nb desc, a) as rn from p) where rn=1
+""")(lambda t: _both_ways(t))
+
+
+def _both_ways(t):
+    size = lambda s: ((F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{s}_y1") - F.col(f"{s}_y0"))).cast("double")
+    box = ["poly_id", "x0", "y0", "x1", "y1"]
+    pairs = J.box_pairs(t.poly.select(*box), t.poly_year.where("yr = 2020").select(*box)).select(
+        F.col("a_poly_id").alias("a"), F.col("b_poly_id").alias("b"), (F.col("inter_px") / size("a")).alias("share_a"), (F.col("inter_px") / size("b")).alias("share_b"))
+    way = lambda name, src, dst, share: J.best_match(pairs, src, share, dst).select(F.lit(name).alias("way"), F.col(src).alias("src"), F.col(dst).alias("dst"), r6(share).alias("share"))
+    return way("ab", "a", "b", "share_a").unionAll(way("ba", "b", "a", "share_b"))
+
 
 YEAR_PAIRS = """select a.poly_id as a, a.yr as yr, b.poly_id as b, b.yr as other, (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0)) as i,
   (a.x1-a.x0)*(a.y1-a.y0) as area_a, (b.x1-b.x0)*(b.y1-b.y0) as area_b from fx_poly_year a join fx_poly_year b on a.yr<>b.yr and a.x0<b.x1 and b.x0<a.x1 and a.y0<b.y1 and b.y0<a.y1"""
@@ -170,8 +180,8 @@ query("J18", "match_other_years", f"""
 _DIST = "sqrt(pow(greatest(p.x0-y.x, y.x-p.x1, 0),2)+pow(greatest(p.y0-y.y, y.y-p.y1, 0),2))"
 query("J19", "nearest_within", f"""
   select pt, yr, poly_id, round(dist,6) as dist from (select pt, yr, p.poly_id, {_DIST} as dist, row_number() over (partition by pt, yr order by {_DIST}, p.poly_id) as rn
-  from {_PTS} y join fx_poly p on p.poly_id%3=0 and {_DIST}<=5) where rn=1
-""")(lambda t: J.one_each(J.near_boxes(_points(t), t.poly.where("poly_id % 3 = 0").select("poly_id", "x0", "y0", "x1", "y1"), 5.0), ["pt", "yr"], "dist", "poly_id").select("pt", "yr", "poly_id", r6("dist").alias("dist")))
+  from {_PTS} y join fx_poly p on {_DIST}<=5) where rn=1
+""")(lambda t: J.one_each(J.near_boxes(_points(t), t.poly.select("poly_id", "x0", "y0", "x1", "y1"), 5.0), ["pt", "yr"], "dist", "poly_id").select("pt", "yr", "poly_id", r6("dist").alias("dist")))
 
 query("J20 C22", "nearest_with_upgrade", f"""
   with m as (select pt, yr, poly_id, area_ha, x, y from (select pt, yr, x, y, p.poly_id, p.area_ha, row_number() over (partition by pt, yr order by {_DIST}, p.poly_id) as rn from {_PTS} y join fx_poly p on {_DIST}<=5) where rn=1),
@@ -195,10 +205,10 @@ query("J25", "overlay_area_by_region", f"""
     F.floor(F.col("b_gx") / 2).alias("region")).agg(F.sum("inter_px").alias("px")))
 
 query("J26", "cell_key_join", """
-  select a.cx, a.cy, a.n as n_even, b.n as n_odd from (select cast(floor(x0/10.0) as bigint) as cx, cast(floor(y0/10.0) as bigint) as cy, count(*) as n from fx_poly where poly_id%2=0 group by 1,2) a
-  join (select cast(floor(x0/10.0) as bigint) as cx, cast(floor(y0/10.0) as bigint) as cy, count(*) as n from fx_poly where poly_id%2=1 group by 1,2) b using (cx, cy)
-""")(lambda t: (lambda c: c.where("poly_id % 2 = 0").groupBy("cx", "cy").agg(F.count("*").alias("n_even")).join(c.where("poly_id % 2 = 1").groupBy("cx", "cy").agg(F.count("*").alias("n_odd")), ["cx", "cy"]))(
-    t.poly.select("poly_id", F.floor(F.col("x0") / 10).alias("cx"), F.floor(F.col("y0") / 10).alias("cy"))))
+  select a.cx, a.cy, a.n as n_map, b.n as n_other from (select cast(floor(x0/10.0) as bigint) as cx, cast(floor(y0/10.0) as bigint) as cy, count(*) as n from fx_poly group by 1,2) a
+  join (select cast(floor(x0/10.0) as bigint) as cx, cast(floor(y0/10.0) as bigint) as cy, count(*) as n from fx_poly_year where yr=2019 group by 1,2) b using (cx, cy)
+""")(lambda t: (lambda c: c(t.poly, "n_map").join(c(t.poly_year.where("yr = 2019"), "n_other"), ["cx", "cy"]))(
+    lambda d, n: d.groupBy(F.floor(F.col("x0") / 10).alias("cx"), F.floor(F.col("y0") / 10).alias("cy")).agg(F.count("*").alias(n))))
 
 query("J27", "neighbour_join", """
   select a.gx, a.gy, count(*) as n from fx_tile a join fx_tile b on abs(a.gx-b.gx)<=1 and abs(a.gy-b.gy)<=1 and (a.gx<>b.gx or a.gy<>b.gy) group by 1,2
@@ -217,18 +227,16 @@ query("J29", "preferred_candidate", f"""
 query("J30", "parent_rollup", "select cast(floor(gx/3.0) as bigint) as px, cast(floor(gy/3.0) as bigint) as py, count(*) as n, round(avg(gx),6) as mx, round(avg(gy),6) as my from fx_tile group by 1,2")(
     lambda t: t.tiles.groupBy(F.floor(F.col("gx") / 3).alias("px"), F.floor(F.col("gy") / 3).alias("py")).agg(F.count("*").alias("n"), r6(F.avg("gx")).alias("mx"), r6(F.avg("gy")).alias("my")))
 
-query("J33 S43", "lattice_window", "select a.gx, a.gy, count(*) as n from fx_tile a join fx_tile b on b.gx between a.gx-2 and a.gx+2 and b.gy between a.gy-1 and a.gy+1 where a.gx%2=0 group by 1,2")(
+query("J33 S43", "lattice_window", "select a.gx, a.gy, count(*) as n from fx_tile a join fx_tile b on b.gx between a.gx-2 and a.gx+2 and b.gy between a.gy-1 and a.gy+1 group by 1,2")(
     lambda t: (lambda w: w.join(t.tiles.select(F.col("gx").alias("nx"), F.col("gy").alias("ny")), ["nx", "ny"]).groupBy("gx", "gy").agg(F.count("*").alias("n")))(
-        t.tiles.where("gx % 2 = 0").withColumn("nx", F.explode(F.sequence(F.col("gx") - 2, F.col("gx") + 2))).withColumn("ny", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)))))
+        t.tiles.withColumn("nx", F.explode(F.sequence(F.col("gx") - 2, F.col("gx") + 2))).withColumn("ny", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)))))
 
 query("J34", "candidates_flagged", f"""
   select pt, yr, p.poly_id, p.poly_id=y.pt as chosen from {_PTS} y join fx_poly p on {_DIST}<=8 where yr=2018
 """)(lambda t: J.near_boxes(_points(t).where("yr = 2018"), t.poly.select("poly_id", "x0", "y0", "x1", "y1"), 8.0).select("pt", "yr", "poly_id", (F.col("poly_id") == F.col("pt")).alias("chosen")))
 
 _HAV = "2*6371000.0::double*asin(sqrt(pow(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2),2)))"
-query("J22 X14 C36 W1 W2", "nearest_different_crop", f"""
-  with s as (select * from fx_site where trial<600), n as (select a.trial, min({_HAV}) as nearest_m from s a left join s b on a.yr=b.yr and a.crop<>b.crop and a.site=b.site group by 1)
+query("J22 X14 C36", "nearest_different_crop", f"""
+  with n as (select a.trial, min({_HAV}) as nearest_m from fx_site a left join fx_site b on a.yr=b.yr and a.crop<>b.crop group by 1)
   select trial, round(nearest_m,2) as nearest_m, nearest_m is null or nearest_m>200 as clean from n
-""")(lambda t: (lambda s: s.select("trial", "yr", "crop", "site", "lon", "lat").join(s.select("yr", "site", F.col("crop").alias("bc"), F.col("lon").alias("blon"), F.col("lat").alias("blat")).withColumnsRenamed({"yr": "byr", "site": "bsite"}),
-    (F.col("yr") == F.col("byr")) & (F.col("site") == F.col("bsite")) & (F.col("crop") != F.col("bc")), "left").groupBy("trial").agg(F.min(haversine(F.col("lon"), F.col("lat"), F.col("blon"), F.col("blat"))).alias("m")).select(
-    "trial", F.round("m", 2).alias("nearest_m"), (F.col("m").isNull() | (F.col("m") > 200)).alias("clean")))(t.sites.where("trial < 600")))
+""")(lambda t: J.nearest_different(t.sites, "trial", "yr", "crop").select("trial", F.round("nearest_m", 2).alias("nearest_m"), (F.col("nearest_m").isNull() | (F.col("nearest_m") > 200)).alias("clean")))

@@ -144,3 +144,20 @@ def test_geopackage_blob_round_trip():
 def test_header_row_needs_seasons():
     with pytest.raises(ValueError):
         header_row([["a", "2019-20"]])
+
+
+def test_nearest_other_label_at_all_distances(spark):
+    import math
+
+    pts = [(1, 2020, 0, 140.0, -30.0), (2, 2020, 1, 140.001, -30.0), (3, 2020, 0, 115.0, -39.0), (4, 2021, 0, 140.0, -30.0), (5, 2020, 1, 117.9, -39.0), (6, 2020, 0, 150.0, -20.0)]
+    df = spark.createDataFrame(pts, "k int, yr int, crop int, lon double, lat double")
+
+    def metres(a, b):
+        la, lb = math.radians(a[4]), math.radians(b[4])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6371000.0 * math.asin(math.sqrt(h))
+
+    want = {a[0]: min((metres(a, b) for b in pts if a[1] == b[1] and a[2] != b[2]), default=None) for a in pts}
+    got = {r.k: r.nearest_m for r in S.nearest_different(df, "k", "yr", "crop").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-3 for k in want)
