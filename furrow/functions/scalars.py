@@ -108,8 +108,8 @@ def short_md5(c: Column, n: int = 12) -> Column:
     return F.substring(F.md5(c), 1, n)
 
 
-def albers(lon: Column, lat: Column, lon0: float = 132.0, lat0: float = 0.0, lat1: float = -18.0, lat2: float = -36.0) -> tuple[Column, Column]:
-    """Equal-area conic metres on GRS80 for a pair of standard parallels."""
+def albers_constants(lat0: float = 0.0, lat1: float = -18.0, lat2: float = -36.0) -> dict[str, float]:
+    """The cone constant n, c, the radius of the origin and the ellipsoid's a, e2 and e, for GRS80."""
     import math
 
     a, e2 = 6378137.0, 0.00669438002290
@@ -118,18 +118,23 @@ def albers(lon: Column, lat: Column, lon0: float = 132.0, lat0: float = 0.0, lat
     def m_of(phi: float) -> float:
         return math.cos(phi) / math.sqrt(1 - e2 * math.sin(phi) ** 2)
 
-    def q_const(phi: float) -> float:
+    def q_of(phi: float) -> float:
         s = math.sin(phi)
         return (1 - e2) * (s / (1 - e2 * s * s) - 1 / (2 * e) * math.log((1 - e * s) / (1 + e * s)))
 
     p1, p2 = math.radians(lat1), math.radians(lat2)
-    n = (m_of(p1) ** 2 - m_of(p2) ** 2) / (q_const(p2) - q_const(p1))
-    c = m_of(p1) ** 2 + n * q_const(p1)
-    rho0 = a * math.sqrt(c - n * q_const(math.radians(lat0))) / n
+    n = (m_of(p1) ** 2 - m_of(p2) ** 2) / (q_of(p2) - q_of(p1))
+    c = m_of(p1) ** 2 + n * q_of(p1)
+    return {"a": a, "e2": e2, "e": e, "n": n, "c": c, "rho0": a * math.sqrt(c - n * q_of(math.radians(lat0))) / n}
+
+
+def albers(lon: Column, lat: Column, lon0: float = 132.0, **parallels: float) -> tuple[Column, Column]:
+    """Equal-area conic metres on GRS80 for a pair of standard parallels."""
+    k = albers_constants(**parallels)
     s = F.sin(F.radians(lat))
-    q = (1 - e2) * (s / (1 - e2 * s * s) - 1 / (2 * e) * F.ln((1 - e * s) / (1 + e * s)))
-    rho, theta = a * F.sqrt(c - n * q) / n, n * F.radians(lon - lon0)
-    return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
+    q = (1 - k["e2"]) * (s / (1 - k["e2"] * s * s) - 1 / (2 * k["e"]) * F.ln((1 - k["e"] * s) / (1 + k["e"] * s)))
+    rho, theta = k["a"] * F.sqrt(k["c"] - k["n"] * q) / k["n"], k["n"] * F.radians(lon - lon0)
+    return rho * F.sin(theta), F.lit(k["rho0"]) - rho * F.cos(theta)
 
 
 def ellipsoid_cell_area(lat_top: Column, res: float) -> Column:

@@ -31,7 +31,11 @@ query("A32 A33", "rank_auc", f"""
   select yr, n_pos, n_neg, round(u,2) as u, case when n_pos>=4 and n_neg>=4 then round(u/(n_pos*n_neg),6) end as auc from x
 """)(lambda t: M.auc(_scored(t), "score", "pos", ["yr"]).select("yr", "n_pos", "n_neg", F.round("u", 2).alias("u"), r6("auc").alias("auc")))
 
-query("A33", "mann_whitney_p")(lambda t: M.auc(_scored(t), "score", "pos", ["yr"]).select("yr", r6(M.mann_whitney_p(F.col("u"), F.col("n_pos"), F.col("n_neg"))).alias("p")))
+query("A33", "mann_whitney_p", f"""
+  with x as (select yr, sum(case when pos then r else 0 end)-count(*) filter (pos)*(count(*) filter (pos)+1)/2.0::double as u, count(*) filter (pos) as n, count(*) filter (not pos) as m from ({_RANKS}) group by 1),
+  z as (select yr, abs(u-n*m/2.0::double)/sqrt(n*m*(n+m+1)/12.0::double) as z from x), t as (select yr, z, 1/(1+0.3275911::double*z/sqrt(2.0::double)) as t from z)
+  select yr, round(t*(0.254829592::double+t*(-0.284496736::double+t*(1.421413741::double+t*(-1.453152027::double+t*1.061405429::double))))*exp(-z*z/2),6) as p from t
+""")(lambda t: M.auc(_scored(t), "score", "pos", ["yr"]).select("yr", r6(M.mann_whitney_p(F.col("u"), F.col("n_pos"), F.col("n_neg"))).alias("p")))
 
 query("A34", "youden_scan", """
   with c as (select unnest([0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8])::double as cut), j as (select yr, cut, avg(case when truth='Canola' then case when score>=cut then 1.0::double else 0 end end)-avg(case when truth<>'Canola' then case when score>=cut then 1.0::double else 0 end end) as j from fx_pred, c group by 1,2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.functions.scalars import albers, box_degrees, ellipsoid_cell_area, quadkey, r6, slippy_tile
+from furrow.functions.scalars import albers, albers_constants, box_degrees, ellipsoid_cell_area, quadkey, r6, slippy_tile
 from furrow.operators import geometry as G
 from furrow.operators import spatial as J
 from furrow.plans.registry import query
@@ -90,7 +90,12 @@ query("G21 G23 X35", "projected_points", f"""
     cast(floor(lon/0.1::double) as bigint) as gx, cast(floor(lat/0.1::double) as bigint) as gy from fx_site
 """)(lambda t: t.sites.select("trial", F.round(ellipsoid_cell_area(F.col("lat"), 0.01), 1).alias("cell_m2"), F.floor(F.col("lon") / 0.1).alias("gx"), F.floor(F.col("lat") / 0.1).alias("gy")))
 
-query("G21", "albers_metres")(lambda t: (lambda x, y: t.sites.select("trial", F.round(x, 3).alias("x"), F.round(y, 3).alias("y")))(*albers(F.col("lon"), F.col("lat"))))
+_K = albers_constants()
+_Q = f"(1-{_K['e2']!r}::double)*(s/(1-{_K['e2']!r}::double*s*s)-1/(2*{_K['e']!r}::double)*ln((1-{_K['e']!r}::double*s)/(1+{_K['e']!r}::double*s)))"
+query("G21", "albers_metres", f"""
+  with p as (select trial, radians(lon-132.0)*{_K['n']!r}::double as th, sin(radians(lat)) as s from fx_site), r as (select trial, th, {_K['a']!r}::double*sqrt({_K['c']!r}::double-({_K['n']!r}::double)*({_Q}))/({_K['n']!r}::double) as rho from p)
+  select trial, round(rho*sin(th),3) as x, round({_K['rho0']!r}::double-rho*cos(th),3) as y from r
+""")(lambda t: (lambda x, y: t.sites.select("trial", F.round(x, 3).alias("x"), F.round(y, 3).alias("y")))(*albers(F.col("lon"), F.col("lat"))))
 
 query("G26", "quadkey", """
   with s as (select trial, cast(floor((lon+180)/360*4096) as bigint) as x, cast(floor((1-ln(tan(radians(lat))+1/cos(radians(lat)))/3.141592653589793::double)/2*4096) as bigint) as y from fx_site)

@@ -161,3 +161,35 @@ def test_nearest_other_label_at_all_distances(spark):
     got = {r.k: r.nearest_m for r in S.nearest_different(df, "k", "yr", "crop").collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_albers_keeps_the_axis_and_areas(spark):
+    """The central meridian is the y axis, and a small cell keeps its ellipsoidal area."""
+    d = 0.01
+    corners = [(140.0, -30.0), (140.0 + d, -30.0), (140.0 + d, -30.0 - d), (140.0, -30.0 - d), (132.0, -25.0)]
+    df = spark.createDataFrame(corners, "lon double, lat double")
+    xy = [tuple(r) for r in df.select(*X.albers(F.col("lon"), F.col("lat"))).collect()]
+    area = abs(sum(xy[i][0] * xy[(i + 1) % 4][1] - xy[(i + 1) % 4][0] * xy[i][1] for i in range(4))) / 2
+    want = df.select(X.ellipsoid_cell_area(F.col("lat"), d).alias("a")).first().a
+    assert abs(xy[4][0]) < 1e-6 and abs(area / want - 1) < 1e-4
+
+
+def test_claims_are_kept_in_order(spark):
+    rows = [(1, 10, "Canola", 5), (2, 10, "Cereal", 5), (2, 11, "Cereal", 6), (3, 12, "Canola", 5)]
+    df = spark.createDataFrame([(0, t, k, p) for t, _, k, p in rows], "aoi int, trial long, kind string, poly long")
+    got = J.claim_matching(df, ["aoi"], ["trial", "poly"], "trial", "poly", "kind", "aoi int, trial long, kind string, poly long")
+    assert {r.trial: r.poly for r in got.collect()} == {1: 5, 2: 6, 3: 5}
+
+
+def test_greedy_choice_keeps_its_distance_and_groups(spark):
+    from furrow.operators.sampling import greedy_apart, row_index
+
+    df = spark.createDataFrame([(1, 9.0, 0.0, 0.0, "a"), (2, 8.0, 1.0, 0.0, "b"), (3, 7.0, 9.0, 0.0, "a"), (4, 6.0, 9.0, 9.0, "c"), (5, 6.0, 20.0, 0.0, "d")], "k int, s double, x double, y double, g string")
+    assert [r["k"] for r in greedy_apart(df, "s", "k", "x", "y", "g", 5.0, 3)] == [1, 4, 5]
+    assert sorted((r.k, r.row_index) for r in row_index(df.repartition(3), "k").collect()) == [(i + 1, i) for i in range(5)]
+    assert row_index(df.where("false"), "k").count() == 0
+
+
+def test_two_sided_p_of_rank_sums(spark):
+    got = spark.createDataFrame([(50.0, 10, 10), (23.0, 10, 10), (0.0, 10, 10)], "u double, n int, m int").select(M.mann_whitney_p(F.col("u"), F.col("n"), F.col("m")).alias("p")).collect()
+    assert got[0].p == pytest.approx(1.0, abs=1e-6) and got[1].p == pytest.approx(0.0413, abs=1e-3) and got[2].p < 2e-4
