@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 from furrow.session import cut
 
 
-def _digest(edges: DataFrame) -> tuple:
-    """The number of edges and a sum over their hashes: equal for equal tables."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _digest(edges: DataFrame) -> tuple[int, object, int]:
+    """The number of edges, a sum over their hashes, equal for equal tables, and the largest degree."""
+    per = _both(edges).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    n, digest, most = per.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+    return (n or 0) // 2, digest, most or 0
 
 
 #: Keys with more rows than this, and than a millionth of all, are hot: at most a million of them.
 HOT = 1000
 
 
+def hot_from(rows: int) -> int:
+    return max(HOT, rows // 1_000_000)
+
+
 def with_least(df: DataFrame, key: str, value: str, name: str, rows: int) -> DataFrame:
     """Rows with the smallest ``value`` of their ``key`` (long) as ``name``; no task holds all rows of a hot key.
 
@@ -24,7 +34,7 @@ def with_least(df: DataFrame, key: str, value: str, name: str, rows: int) -> Dat
     limit, go to every task; the rows of all other keys meet theirs in a shuffle join.
     """
     least = df.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("_n"))
-    limit = max(HOT, rows // 1_000_000)
+    limit = hot_from(rows)
     hot = F.broadcast(least.where(F.col("_n") > limit).select(F.col(key).alias("_hot"), name))
     cold = least.where(F.col("_n") <= limit).drop("_n")
     spread = df.join(hot, F.col(key) == F.col("_hot")).drop("_hot")
@@ -32,6 +42,12 @@ def with_least(df: DataFrame, key: str, value: str, name: str, rows: int) -> Dat
     return spread.unionByName(rest)
 
 
+def _least(edges: DataFrame, rows: int, hubs: bool) -> DataFrame:
+    if hubs:
+        return with_least(edges, "u", "v", "m", rows)
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
 def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges`` (src long, dst long); component = smallest node.
 
@@ -52,10 +68,11 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        known = with_least(both, "u", "v", "m", before[0])
+        # Hubs are met rarely; the plain join's plan is much smaller. No degree grows in between.
+        hubs = before[2] > hot_from(before[0])
+        known = _least(_both(now), before[0], hubs)
         large = known.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        tied = with_least(large, "u", "v", "m", before[0])
+        tied = _least(cut(large, before[0]) if hubs else large, before[0], hubs)
         small = (
             tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(tied.where("v = m").select("u", F.col("m").alias("v")))
