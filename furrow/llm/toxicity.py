@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.sampling import in_share, labelled, share_of
+from furrow.session import cut
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that count as features beside the words; compounds share them.
@@ -112,7 +113,9 @@ def train(df: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     known = labelled(labels, id_col, categories)
     share = share_of(known.count(), max_rows)
     rows = df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where(in_share("_key", share, "toxic"))
-    rows = rows.join(known, F.col("_key") == F.col("_id")).select("_key", _marks("_text").alias("marks"), *categories)
+    # The sample's texts, a bounded table, are kept: the steps below read them and not the corpus again.
+    rows = cut(rows.join(known, F.col("_key") == F.col("_id")).select("_key", "_text", *categories), max_rows)
+    rows = rows.select("_key", _marks(F.col("_text")).alias("marks"), *categories)
     total, *ones = rows.agg(F.count("*"), *(F.sum(c) for c in categories)).first()
     if not total:
         return None
