@@ -12,6 +12,7 @@ all ids by one table of offsets into the concatenated tokens.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -183,7 +184,7 @@ class Codec(Vocabulary):
                 token = shorter[gone]
 
     def _ids(self, piece: str) -> bytes:
-        got = np.array(self.encode_piece(piece.encode()), dtype="<i4").tobytes()
+        got = array("i", self.encode_piece(piece.encode())).tobytes()
         if len(piece) <= 200:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
@@ -191,12 +192,12 @@ class Codec(Vocabulary):
         return got
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian 32-bit integers."""
+        """The ids of a whole text as 32-bit integers in the machine's order."""
         out: list[bytes] = []
         at = 0
         for mark in self.split.finditer(text) if self.split else ():
             out.append(self._plain(text[at : mark.start()]))
-            out.append(np.array([self.special[mark[0]]], dtype="<i4").tobytes())
+            out.append(array("i", [self.special[mark[0]]]).tobytes())
             at = mark.end()
         out.append(self._plain(text[at:] if at else text))
         return b"".join(out)
@@ -227,7 +228,7 @@ def encode(text: Column | str, path: str) -> Column:
         for texts in batches:
             done = [own.encode(t.as_py()) if t.is_valid else b"" for t in texts]
             ends = np.cumsum([0, *(len(x) // 4 for x in done)])
-            flat = pa.array(np.frombuffer(b"".join(done), dtype="<i4"))
+            flat = pa.array(np.frombuffer(b"".join(done), dtype=np.int32))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
     return ids(F.col(text) if isinstance(text, str) else text)
@@ -256,9 +257,9 @@ def round_trip(text: Column | str, path: str) -> Column:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
         for texts in batches:
-            ids = [np.frombuffer(own.encode(t.as_py()) if t.is_valid else b"", dtype="<i4") for t in texts]
+            ids = [np.frombuffer(own.encode(t.as_py()) if t.is_valid else b"", dtype=np.int32) for t in texts]
             ends = np.cumsum([0, *map(len, ids)])
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype="<i4"))
+            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32))
             decoded = pa.array([own.decode(x).decode("utf-8", "replace") for x in ids], pa.string())
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), decoded], names=["ids", "decoded"])
 
