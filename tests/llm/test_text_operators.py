@@ -197,6 +197,32 @@ def test_keep_one_per_group(spark):
     assert simhash.keep_one(docs.where("false"), simhash.similar_groups(docs.where("false"))).count() == 0
 
 
+def test_similar_groups_match_brute_force_around_the_bound(spark):
+    rng = random.Random(8)
+    rows, sets = [], []
+    for i in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((12, 60, 250)))]
+        for copy in range(3):
+            words = list(base)
+            for _ in range(rng.randrange(max(2, len(base) // 25)) if copy else 0):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+            words += [f"tail{rng.randrange(10**6)}" for _ in range(rng.choice((0, len(base) // 8)) if copy else 0)]
+            rows.append((3 * i + copy, " ".join(words)))
+            sets.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+    least, pairs, close = list(range(len(rows))), 0, 0
+    for i in range(len(rows)):
+        for j in range(i - i % 3, i):
+            likeness = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            pairs, close = pairs + (likeness >= 0.8), close + (0.6 <= likeness < 0.8)
+            if likeness >= 0.8:
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = [new if x == old else x for x in least]
+    assert pairs > 60 and close > 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == dict(enumerate(least))
+
+
 def test_targets_match_resharing(spark, docs):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
