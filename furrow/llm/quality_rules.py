@@ -25,6 +25,8 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "repeats": ("n_repeat_words / n_words", (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
     "dup_lines": ("n_dup_lines / n_words", (0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04)),
 }
+#: Strata whose cutoffs, a row each, go to every task.
+BROADCAST_STRATA = 10_000
 
 
 def _repeated(grams: Column) -> tuple[Column, Column]:
@@ -145,16 +147,14 @@ def judge(
     stratum_col: str = "lang",
     risk: float = 0.03,
     error: float = 0.05,
-    max_holdout: int = 200_000,
 ) -> DataFrame:
     """Per row of ``df``: id, stratum, the features, base_failed, rejected_by (rule names) and kept.
 
     base_failed: fewer than 50 words, or more than half of them in repeated 3-word windows. Rows that
     pass are kept unless an admitted cutoff of their stratum rejects them. ``labels`` (id, quality)
     may hold nulls, which are no labels, and repeated ids, of which the lowest quality holds. The
-    holdout is every labelled good row that passes the base rules, or of more than ``max_holdout`` a
-    part chosen by a hash of the id. Null strata are a stratum of their own; null ids are judged but
-    never labelled; repeated rows stay; an empty table gives no rows.
+    holdout is every labelled good row that passes the base rules. Null strata are a stratum of their
+    own; null ids are judged but never labelled; repeated rows stay; an empty table gives no rows.
     """
     known = cut(features(df.select(F.col(id_col), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("_text")), "_text").drop("_text"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -163,20 +163,17 @@ def judge(
         labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
         .groupBy(F.col(id_col).alias("_good")).agg(F.min("quality").alias("_quality")).where("_quality = 1")
     )
-    share = min(1.0, max_holdout / max(1, good.count()))
-    if share < 1:
-        good = good.where(F.pmod(F.xxhash64("_good"), F.lit(1 << 30)) < int(share * (1 << 30)))
     holdout = known.where(~F.col("base_failed")).join(good, F.col(id_col) == F.col("_good"))
-    # A rule needs log(error / tests) / log(1 - risk / rules) good documents, some hundreds, so the
-    # holdout's bound limits the strata that get a rule; that many rows may be broadcast.
-    chosen = (
+    chosen = cut(
         cutoffs(holdout, risk, error).groupBy(F.col("stratum").alias("_stratum"))
         .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
     )
+    # A stratum has cutoffs only with some hundreds of good documents; more than so many strata are joined by a shuffle.
+    few = chosen.count() <= BROADCAST_STRATA
     out = F.array_compact(F.array(*(
         F.when(F.expr(f"try_divide({ratio.replace(' / ', ', ')})") > F.col("_cutoffs")[name], F.lit(name)) for name, (ratio, _) in RULES.items()
     )))
-    judged = known.join(F.broadcast(chosen), F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    judged = known.join(F.broadcast(chosen) if few else chosen, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
     return (
         judged.withColumn("rejected_by", F.when(F.col("_cutoffs").isNull(), F.array().cast("array<string>")).otherwise(out))
         .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))

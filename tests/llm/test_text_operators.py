@@ -197,6 +197,17 @@ def test_keep_one_per_group(spark):
     assert simhash.keep_one(docs.where("false"), simhash.similar_groups(docs.where("false"))).count() == 0
 
 
+def test_every_labelled_document_counts_for_the_cutoffs(spark):
+    """A language of 1,500 labelled good documents keeps its rules among four million labels."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "xx") for i in range(1500)]
+    rows.append((-1, " ".join(f"w{k}#" for k in range(60)), "xx"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.range(4_000_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    got = {r.doc_id: r for r in quality_rules.judge(docs, labels).collect()}
+    assert got[-1].rejected_by == ["symbols"] and not got[-1].kept
+    assert sum(r.kept for r in got.values()) == 1500
+
+
 def test_similar_groups_match_brute_force_around_the_bound(spark):
     rng = random.Random(8)
     rows, sets = [], []
