@@ -100,13 +100,26 @@ def greedy_apart(df: DataFrame, score: str, key: str, x: str, y: str, group: str
     """Up to k rows by falling score, each at least so far from those before it and one per group.
 
     The choice depends on what was chosen, so the best ``pool`` rows, a bounded list, are walked on
-    the driver.
+    the driver. If they don't suffice, the next pass walks the best of all rows that are still
+    allowed beside those chosen, until there are k or no row is left: each pass but the last chooses
+    one at least.
     """
     chosen: list[dict] = []
-    for row in df.orderBy(F.col(score).desc(), key).limit(pool).collect():
-        r = row.asDict()
-        if all((r[x] - c[x]) ** 2 + (r[y] - c[y]) ** 2 >= apart**2 and r[group] != c[group] for c in chosen):
-            chosen.append(r)
-        if len(chosen) == k:
+    rest = df.orderBy(F.col(score).desc(), key)
+    while len(chosen) < k:
+        rows = rest.limit(pool).collect()
+        known = len(chosen)
+        for row in rows:
+            r = row.asDict()
+            if all((r[x] - c[x]) * (r[x] - c[x]) + (r[y] - c[y]) * (r[y] - c[y]) >= apart * apart and r[group] != c[group] for c in chosen):
+                chosen.append(r)
+            if len(chosen) == k:
+                break
+        if len(rows) < pool:
             break
+        allowed = F.lit(True)
+        for c in chosen[known:]:
+            dx, dy = F.col(x) - F.lit(c[x]), F.col(y) - F.lit(c[y])
+            allowed &= (dx * dx + dy * dy >= apart * apart) & ~F.col(group).eqNullSafe(F.lit(c[group]))
+        rest = rest.where(allowed)
     return chosen

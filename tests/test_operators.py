@@ -190,6 +190,20 @@ def test_greedy_choice_keeps_its_distance_and_groups(spark):
     assert row_index(df.where("false"), "k").count() == 0
 
 
+def test_greedy_choice_goes_on_after_a_hot_site(spark):
+    """The best 1,500 rows are one site's; the next ones lie close to it or to each other."""
+    from furrow.operators.sampling import greedy_apart
+
+    rows = [(i, 9000.0 - i, 0.0, 0.0, 0) for i in range(1500)] + [(2000 + i, 5000.0 - i, i * 0.01, 50.0, 1 + i) for i in range(1500)] + [(4000, 1.0, 90.0, 0.0, 9999)]
+    df = spark.createDataFrame(rows, "k long, s double, x double, y double, g long")
+    want: list = []
+    for r in sorted(rows, key=lambda r: -r[1]):
+        if all((r[2] - c[2]) ** 2 + (r[3] - c[3]) ** 2 >= 25 and r[4] != c[4] for c in want):
+            want.append(r)
+    for k in (2, 4, 50):
+        assert [r["k"] for r in greedy_apart(df, "s", "k", "x", "y", "g", 5.0, k)] == [r[0] for r in want[:k]]
+
+
 def test_two_sided_p_of_rank_sums(spark):
     got = spark.createDataFrame([(50.0, 10, 10), (23.0, 10, 10), (0.0, 10, 10)], "u double, n int, m int").select(M.mann_whitney_p(F.col("u"), F.col("n"), F.col("m")).alias("p")).collect()
     assert got[0].p == pytest.approx(1.0, abs=1e-6) and got[1].p == pytest.approx(0.0413, abs=1e-3) and got[2].p < 2e-4
