@@ -17,8 +17,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Candidates: 16 or more characters of keys and hashes in a row, a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{16,}"
+#: Candidates: 16 or more characters of keys and hashes in a row, a digit among them wherever it
+#: stands, and the padding after them; in NAME=value the name is no part of the candidate.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Characters of the text on either side that count as neighbourhood.
 CONTEXT = 48
 MASK = "[SECRET]"
@@ -143,10 +144,14 @@ def findings(df: DataFrame, trees: list[str], text_col: str = "text", path_col:
         F.array().cast("array<bigint>"),
         lambda acc, x: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x["p"] + x["c"]).cast("bigint"))),
     )
+    # CONTEXT characters of the text itself: three candidates of 16 or more lie beside three pieces.
+    part = lambda name, k, here: F.when(here, F.element_at(name, F.greatest(k, F.lit(1)))).otherwise("")
+    before = lambda k: F.concat(*(x for j in (2, 1, 0) for x in (part("_secret_found", k - j - 1, k > j + 1), F.substring(part("_secret_pieces", k - j, k > j), -CONTEXT, CONTEXT))))
+    after = lambda k: F.concat(*(x for j in (1, 2, 3) for x in (F.substring(part("_secret_pieces", k + j, k + j <= F.size("_secret_pieces")), 1, CONTEXT), part("_secret_found", k + j, k + j <= F.size("_secret_found")))))
     at = lambda k: {
         "candidate": F.element_at("_secret_found", k),
-        "left": F.substring(F.element_at("_secret_pieces", k), -CONTEXT, CONTEXT),
-        "right": F.substring(F.element_at("_secret_pieces", k + 1), 1, CONTEXT),
+        "left": F.substring(before(k), -CONTEXT, CONTEXT),
+        "right": F.substring(after(k), 1, CONTEXT),
     }
 
     def described(k: Column) -> Column:

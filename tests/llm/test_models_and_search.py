@@ -93,6 +93,18 @@ def test_offsets_of_many_findings_in_a_long_text(spark, trees):
     assert len(got) == 600 and all(text[r.start : r.end] == r.candidate and r.is_secret for r in got)
 
 
+def test_assigned_keys_are_cut_from_their_names(spark, trees):
+    """The name and what stands before an earlier candidate are context, and a digit may come late."""
+    key = hashlib.sha1(b"assigned").hexdigest()
+    late = "aZ" * 150 + "7"
+    rows = [(1, f"set token={key} now"), (2, f"SECRET_KEY={key}"), (3, f"commit {key}"), (4, f"APP_2_ACCESS_TOKEN={key}"), (5, f"see {late} there")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("web")), trees).collect()
+    by = {(r.doc_id, r.candidate): r for r in found}
+    assert all(by[d, key].is_secret for d in (1, 2, 4)) and not by[3, key].is_secret
+    assert (5, late) in by
+    assert all(rows[r.doc_id - 1][1][r.start : r.end] == r.candidate for r in found)
+
+
 def test_forest_on_findings_it_has_not_seen(spark, trees):
     fresh = secrets.labelled_findings(spark, 6000).orderBy("candidate")
     made = fresh.select(F.monotonically_increasing_id().alias("doc_id"), F.concat("left", "candidate", "right").alias("text"), F.col("path").alias("source"), "label", "candidate").where("length(candidate) >= 16").cache()
