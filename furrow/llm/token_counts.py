@@ -17,6 +17,11 @@ SPLIT_BYTES = 1 << 16
 _SEAM = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
+def _bytes(text: str) -> int:
+    """The size of a text in UTF-8."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 class Counter:
     """Counts for one vocabulary file: sentencepiece for .model, tokenizers for .json."""
 
@@ -43,16 +48,18 @@ class Counter:
 
     def parts(self, text: str) -> list[str]:
         """A long text in parts that count on their own; whole if it has no safe boundary."""
-        if not self.seams or len(text) <= SPLIT_BYTES:
+        n_bytes = _bytes(text)
+        if not self.seams or n_bytes <= SPLIT_BYTES:
             return [text]
+        most = SPLIT_BYTES * len(text) // n_bytes  # characters of a part, at the text's mean size
         out, at = [], 0
-        while len(text) - at > SPLIT_BYTES and (seam := _SEAM.search(text, at + SPLIT_BYTES // 2)):
+        while len(text) - at > most and (seam := _SEAM.search(text, at + most // 2)):
             out.append(text[at : seam.start()])
             at = seam.end()
         return [*out, text[at:]]
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text; batches are filled by size, not by number."""
+        """Tokens of each text; batches are filled by bytes, not by number."""
         total = [0] * len(texts)
         batch: list[str] = []
         owner: list[int] = []
@@ -68,7 +75,7 @@ class Counter:
             for part in self.parts(text):
                 batch.append(part)
                 owner.append(k)
-                size += len(part)
+                size += _bytes(part)
                 if size >= BATCH_BYTES:
                     flush()
                     size = 0
@@ -87,6 +94,8 @@ def n_tokens(text: Column | str, path: str) -> Column:
     """Tokens of a text without added special tokens, as a long; null and empty texts have none.
 
     Nothing is truncated. Special strings inside a text are handled as the library does by default.
+    Repeated rows count alike, however long a text is; an empty table gives no rows; no other column
+    is read.
     """
 
     @F.arrow_udf("long")
