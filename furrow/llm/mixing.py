@@ -155,11 +155,13 @@ def mix(
     taken. The order within a source is by md5 of the id, then size, then a hash of the text: reruns
     agree. Null texts have size 0; null sources are a source of their own; null ids sort as '';
     repeated rows are taken one by one; an empty table gives no rows; other columns are left out.
+    The rows come range-sorted by position, those that aren't taken first; ties go by id.
     """
     names = ("size", "source_size", "target", "passes", "rest", "taken", "position")
     sized = _sized(df.select(id_col, text_col, source_col), id_col, text_col, source_col)
     placed = _placed(cut(sized.drop(text_col, source_col)), schedules, id_col, text_col, source_col, share, cap)
-    return placed.select(id_col, *(F.col(f"_mix_{c}").alias(c) for c in names))
+    placed = placed.select(id_col, *(F.col(f"_mix_{c}").alias(c) for c in names))
+    return placed.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
 
 
 def training_rows(
@@ -175,7 +177,8 @@ def training_rows(
 
     Columns are those of ``df``. A reading that the target cuts off holds the document's first words
     as far as they are taken, with the white space before each as it was. Documents without words,
-    or of which nothing is taken, go.
+    null texts among them, or of which nothing is taken, go. Null sources are a source of their own,
+    null ids sort as '', repeated rows are read one by one, and an empty table gives no rows.
     """
     placed = _placed(df, schedules, id_col, text_col, source_col, share, cap)
     kind = "array<struct<k:bigint,words:bigint>>"
