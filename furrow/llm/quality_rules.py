@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm.sampling import labelled
 from furrow.llm.text import SPACES, words
 from furrow.session import cut
 
@@ -152,17 +153,14 @@ def judge(
 
     base_failed: fewer than 50 words, or more than half of them in repeated 3-word windows. Rows that
     pass are kept unless an admitted cutoff of their stratum rejects them. ``labels`` (id, quality)
-    may hold nulls, which are no labels, and repeated ids, of which the lowest quality holds. The
+    may hold nulls, which are no labels, and repeated ids, which count if their rows agree. The
     holdout is every labelled good row that passes the base rules. Null strata are a stratum of their
     own; null ids are judged but never labelled; repeated rows stay; an empty table gives no rows.
     """
     known = cut(features(df.select(F.col(id_col), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("_text")), "_text").drop("_text"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     known = known.withColumn("base_failed", base)
-    good = (
-        labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
-        .groupBy(F.col(id_col).alias("_good")).agg(F.min("quality").alias("_quality")).where("_quality = 1")
-    )
+    good = labelled(labels, id_col, ["quality"]).where("quality = 1").select(F.col("_id").alias("_good"))
     holdout = known.where(~F.col("base_failed")).join(good, F.col(id_col) == F.col("_good"))
     chosen = cut(
         cutoffs(holdout, risk, error).groupBy(F.col("stratum").alias("_stratum"))

@@ -21,8 +21,11 @@ def in_share(id_col: Column | str, share: float, salt: str) -> Column:
 
 
 def labelled(labels: DataFrame, id_col: str, names: list[str]) -> DataFrame:
-    """One row per labelled id, with the largest of each label; ids or labels that are null are no labels."""
+    """One row per labelled id; ids or labels that are null are no labels, nor are an id's rows that contradict each other."""
     known = labels.where(F.col(id_col).isNotNull())
     for name in names:
         known = known.where(F.col(name).isNotNull())
-    return known.groupBy(F.col(id_col).alias("_id")).agg(*(F.max(n).cast("int").alias(n) for n in names))
+    per_id = known.groupBy(F.col(id_col).alias("_id")).agg(*(F.max(n).cast("int").alias(n) for n in names), *(F.min(n).cast("int").alias(f"_least_{n}") for n in names))
+    for name in names:
+        per_id = per_id.where(F.col(name) == F.col(f"_least_{name}"))
+    return per_id.select("_id", *names)
