@@ -1,19 +1,23 @@
 """Quality classifier by positive-unlabelled learning.
 
-A linear model on the shape of a text minimises the non-negative unbiased risk: trusted positives
-stand for the good class, unlabelled web text for the mixture, and the estimated class prior tells
-how much of the mixture's risk as negatives the good part accounts for. Where that difference falls
+A linear model on the shape of a text and on its words, hashed, minimises the non-negative unbiased
+risk: trusted positives stand for the good class, unlabelled web text for the mixture, and the class
+prior tells how much of the mixture's risk as negatives the good part accounts for. The prior is
+estimated from the two samples alone: it is the least ratio of their shares above a score, of scores
+that parts of the rows got from a model of the others. Where that difference falls
 below zero, which overfitting alone can bring about, the step goes back along its gradient.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +32,29 @@ _STOP = b".,;:"
 _HIGH = bytes(range(128, 256))
 _SPACE = b" \t\n\x0b\x0c\r"
 _BAR = re.compile(rb"(?<!\S)[^\w\s]+(?!\S)")
-#: Fixed value: frequent short words of the languages at hand.
-_COMMON = frozenset("the of and to in is that for on with as was it by be this from at or an are not der die und den das von mit des im ist zu sich auf für als le la les de et un une du en que pour dans est par sur pas el los y del se las con no su al lo".encode().split())
+#: Two or more of the same mark in a row.
+_RUN = re.compile(rb"([^\w\s])\1")
+#: Buckets of hashed words.
+BUCKETS = 128
 
-FEATURES = ("log words", "upper", "digits", "symbols", "loud", "stops", "high", "lone marks", "distinct words", "distinct pairs", "twins", "duplicate lines", "word length", "long words", "common words", "lines", "marked words", "upper words")
+SHAPE = ("log words", "upper", "digits", "symbols", "loud", "stops", "high", "lone marks", "distinct words", "distinct pairs", "twins", "duplicate lines", "word length", "long words", "lines", "runs of marks", "upper words")
+FEATURES = (*SHAPE, *(f"words {i}" for i in range(BUCKETS)))
 
 
-def shape(data: bytes) -> list[float]:
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """The words' shares of the buckets, as square roots."""
+    known = Counter(words)
+    at = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) % BUCKETS for w in known), dtype=np.int64, count=len(known))
+    share = np.bincount(at, weights=np.fromiter(known.values(), dtype=np.float64, count=len(known)), minlength=BUCKETS) / len(words)
+    return np.sqrt(share)
+
+
+def shape(data: bytes) -> np.ndarray:
     """The features of a whole text, each of about 0 to 1; a text without words has zeros."""
     words = data.split()
     n = len(words)
     if not n:
-        return [0.0] * len(FEATURES)
+        return np.zeros(len(FEATURES))
     size = len(data)
     body = data.translate(None, _SPACE)
     solid = len(body)
@@ -48,7 +63,7 @@ def shape(data: bytes) -> list[float]:
     pairs = max(1, n - 1)
     upper = part(_UPPER)
     letters = upper + part(_LOWER)
-    return [
+    own = [
         min(1.0, np.log1p(n) / 10),
         upper / letters if letters else 0.0,
         part(_DIGIT),
@@ -63,18 +78,24 @@ def shape(data: bytes) -> list[float]:
         1 - len(set(lines)) / len(lines) if lines else 0.0,
         min(1.0, len(body) / n / 20),
         sum(len(w) > 20 for w in words) / n,
-        sum(map(_COMMON.__contains__, words)) / n,
         min(1.0, len(lines) / n * 5),
-        min(1.0, sum(data.count(c) for c in (b"###", b"$$$", b"***", b"%%%", b"&&&", b"!!", b"==", b"--")) / n),
+        min(1.0, len(_RUN.findall(data)) / n),
         sum(map(bytes.isupper, words)) / n,
     ]
+    return np.concatenate([own, _hashed(words)])
+
+
+def _rows(texts: pa.Array) -> np.ndarray:
+    return np.array([shape(t.as_py() or b"") for t in texts]).reshape(-1, len(FEATURES))
 
 
 def _shapes(text: Column) -> Column:
     @F.arrow_udf("array<float>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([shape(t.as_py() or b"") for t in texts], pa.list_(pa.float32()))
+            rows = _rows(texts).astype(np.float32)
+            ends = np.arange(0, rows.size + 1, len(FEATURES), dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
 
     return of(text)
 
@@ -93,7 +114,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(((rows - self.mean) / self.scale) @ self.weights + self.bias, -30, 30)))
 
 
-def fit_nnpu(good: np.ndarray, mixed: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.02, decay: float = 1e-4) -> Model:
+def fit_nnpu(good: np.ndarray, mixed: np.ndarray, prior: float, steps: int = 600, rate: float = 0.03, decay: float = 1e-3) -> Model:
     """Non-negative PU risk with logistic loss, by Adam over all rows at each step."""
     mean, scale = mixed.mean(axis=0), mixed.std(axis=0) + 1e-3
     p, u = np.clip((good - mean) / scale, -8, 8), np.clip((mixed - mean) / scale, -8, 8)
@@ -117,6 +138,28 @@ def fit_nnpu(good: np.ndarray, mixed: np.ndarray, prior: float, steps: int = 150
     return Model(mean, scale, w, float(b), prior)
 
 
+def estimated_prior(good: np.ndarray, mixed: np.ndarray, parts: int = 2, error: float = 0.05) -> float:
+    """The good share of the mixture, from the two samples without any negative.
+
+    Every part of the rows is scored by a model of the others that parts good rows from the mixture's
+    (a prior of one half, whose order is all that counts). Above any score the mixture holds at least
+    its good share times the share of the good; the least such ratio, both shares taken at the unlucky
+    end of their error, bounds the good share, tightly where the best rows are good ones only.
+    """
+    place = [np.arange(len(x)) % parts for x in (good, mixed)]
+    scores = [np.zeros(len(good)), np.zeros(len(mixed))]
+    for k in range(parts):
+        model = fit_nnpu(good[place[0] != k], mixed[place[1] != k], 0.5, steps=200)
+        for x, at, out in zip((good, mixed), place, scores, strict=True):
+            out[at == k] = model(np.clip(x[at == k], model.mean - 8 * model.scale, model.mean + 8 * model.scale))
+    cuts = np.quantile(scores[0], np.linspace(0, 0.9, 91))
+    share = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="left") / len(x)
+    slack = np.sqrt(np.log(4 / error) / 2) * (1 / np.sqrt(len(good)) + 1 / np.sqrt(len(mixed)))
+    above, below = share(scores[1]), share(scores[0])
+    best = int(np.argmin((above + slack) / below))
+    return float(np.clip(above[best] / below[best], 0.01, 0.99))
+
+
 def held_out(id_col: Column | str) -> Column:
     """Whether crc32 of the id's text is divisible by 5; null ids count as ''."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -124,14 +167,14 @@ def held_out(id_col: Column | str) -> Column:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_good: int = 10_000, max_mixed: int = 20_000) -> Model | None:
-    """A model from rows that are not held out: labelled good ones, and any others as unlabelled text.
+    """A model from rows that are not held out: labelled good ones, and any as unlabelled text.
 
     At most about ``max_good`` and ``max_mixed`` rows are used, chosen by a hash of the id; their
-    features, not their texts, come to the driver. The prior is the good share of the labelled rows
-    that aren't held out. Without positives or other rows there is no model.
+    features, not their texts, come to the driver. Labels other than good ones are not read, the prior
+    is that of ``estimated_prior``. Without positives or other rows there is no model.
     """
     known = labelled(labels.where(~held_out(id_col)), id_col, ["quality"])
-    n_known, n_good = known.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
+    n_good = known.where("quality = 1").count()
     n_docs = df.count()
     if not n_good or not n_docs:
         return None
@@ -141,14 +184,15 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where(~held_out("_key"))
         .join(rest, F.col("_key") == F.col("_id"), "left")
         .where(F.col("_good") | in_share("_key", share_of(n_docs, max_mixed), "mixed"))
-        .select(F.coalesce("_good", F.lit(False)).alias("good"), in_share("_key", share_of(n_docs, max_mixed), "mixed").alias("mixed"), _shapes(F.col("_text").cast("binary")).alias("x"))
+        .select(F.coalesce("_good", F.lit(False)).alias("good"), in_share("_key", share_of(n_docs, max_mixed), "mixed").alias("mixed"), "_key", _shapes(F.col("_text").cast("binary")).alias("x"))
     )
-    table = rows.toArrow()
-    x = np.array(table["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
+    table = rows.toArrow().combine_chunks()
+    table = table.sort_by([("_key", "ascending")])  # the fit doesn't depend on the order of partitions
+    x = table["x"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, len(FEATURES))
     is_good, is_mixed = (np.array(table[c].to_pylist(), dtype=bool) for c in ("good", "mixed"))
     if not is_good.any() or not is_mixed.any():
         return None
-    return fit_nnpu(x[is_good], x[is_mixed], min(0.99, n_good / n_known))
+    return fit_nnpu(x[is_good], x[is_mixed], estimated_prior(x[is_good], x[is_mixed]))
 
 
 def score(text: Column | str, model: Model | None) -> Column:
@@ -160,9 +204,8 @@ def score(text: Column | str, model: Model | None) -> Column:
             if model is None:
                 yield pa.array([0.5] * len(texts), pa.float64())
             else:
-                rows = np.array([shape(t.as_py() or b"") for t in texts], dtype=np.float32).astype(np.float64)
-                rows = model.mean + np.clip((rows - model.mean) / model.scale, -8, 8) * model.scale if len(rows) else rows.reshape(0, len(FEATURES))
-                yield pa.array(model(rows), pa.float64())
+                rows = _rows(texts).astype(np.float32).astype(np.float64)
+                yield pa.array(model(np.clip(rows, model.mean - 8 * model.scale, model.mean + 8 * model.scale)), pa.float64())
 
     return of((F.col(text) if isinstance(text, str) else text).cast("binary"))
 
