@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from furrow.llm.sampling import in_share, labelled, share_of
 from furrow.session import cut
@@ -81,21 +82,27 @@ def _linear(w: np.ndarray, hits: list[np.ndarray], more: np.ndarray, size: int)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_chain(categories: list[str], vocabulary: dict[str, int], all_hits: list[np.ndarray], y: np.ndarray, own: np.ndarray | None = None, folds: int = 5) -> Chain:
+def fit_chain(
+    categories: list[str], vocabulary: dict[str, int], all_hits: list[np.ndarray], y: np.ndarray,
+    own: np.ndarray | None = None, fold: np.ndarray | None = None, own_without: np.ndarray | None = None, folds: int = 5,
+) -> Chain:
     """One model per category; the earlier probabilities that a later one learns from are out of fold.
 
     ``own`` (category, mark) tells which marks a category's model uses; the others get no weight.
+    ``fold`` gives each row's fold, ``own_without`` (fold, category, mark) the marks that the other
+    folds' rows alone would choose, for the models that predict that fold.
     """
     size, n = len(vocabulary), len(all_hits)
-    fold = np.arange(n) % folds
+    fold = np.arange(n) % folds if fold is None else fold
+    chosen = lambda masks: all_hits if masks is None else [h[masks[h]] for h in all_hits]
     earlier = np.zeros((n, 0))
     weights = []
     for j in range(len(categories)):
-        hits = all_hits if own is None else [h[own[j][h]] for h in all_hits]
-        weights.append(fit_logistic(hits, earlier, y[:, j], size))
+        weights.append(fit_logistic(chosen(None if own is None else own[j]), earlier, y[:, j], size))
         if j + 1 < len(categories):
             out = np.zeros(n)
             for k in range(folds):
+                hits = chosen(own_without[k][j] if own_without is not None else None if own is None else own[j])
                 inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
                 w = fit_logistic([hits[i] for i in inside], earlier[inside], y[inside, j], size)
                 out[outside] = _linear(w, [hits[i] for i in outside], earlier[outside], size)
@@ -103,37 +110,55 @@ def fit_chain(categories: list[str], vocabulary: dict[str, int], all_hits: list[
     return Chain(categories, vocabulary, weights)
 
 
-def train(df: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 8000, max_marks: int = 4000) -> Chain | None:
+def _narrowed(chain: Chain, used: np.ndarray) -> Chain:
+    """The chain without the marks that no final model uses."""
+    kept = np.flatnonzero(used)
+    names = sorted(chain.vocabulary, key=chain.vocabulary.get)
+    size = len(names)
+    return Chain(chain.categories, {names[i]: k for k, i in enumerate(kept)}, [np.r_[w[kept], w[size:]] for w in chain.weights])
+
+
+def train(df: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 8000, max_marks: int = 4000, folds: int = 5) -> Chain | None:
     """A chain from at most about ``max_rows`` labelled rows, chosen by a hash of the id.
 
-    The marks of a category are those that part it best by chi-square over all sampled rows, counted in
-    Spark; the driver gets them and, per row, which of them occur. Without labelled rows there is no
-    chain.
+    The marks of a category are those that part it best by chi-square over the sampled rows, counted in
+    Spark; the driver gets them and, per row, which of them occur. For out-of-fold predictions they are
+    chosen anew without the fold. Folds go by a hash of the text, and rows that repeat an id share
+    theirs: neither copies nor repeated ids stand on both sides. Without labelled rows there is no chain.
     """
     known = labelled(labels, id_col, categories)
     share = share_of(known.count(), max_rows)
     rows = df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).where(in_share("_key", share, "toxic"))
     # The sample's texts, a bounded table, are kept: the steps below read them and not the corpus again.
     rows = cut(rows.join(known, F.col("_key") == F.col("_id")).select("_key", "_text", *categories), max_rows)
-    rows = rows.select("_key", _marks(F.col("_text")).alias("marks"), *categories)
-    total, *ones = rows.agg(F.count("*"), *(F.sum(c) for c in categories)).first()
-    if not total:
+    rows = rows.withColumn("_fold", F.pmod(F.min(F.xxhash64("_text")).over(Window.partitionBy("_key")), F.lit(folds)).cast("int"))
+    rows = rows.select("_key", "_fold", _marks(F.col("_text")).alias("marks"), *categories)
+    # Totals and counts per mark: rows and positives of every category, each over all folds and without each.
+    inside = [F.lit(True), *(F.col("_fold") != k for k in range(folds))]
+    counts = [c for v, i in enumerate(inside) for c in (F.count_if(i).alias(f"n{v}"), *(F.sum(F.when(i, F.col(x)).otherwise(0)).alias(f"{x}{v}") for x in categories))]
+    total = rows.agg(*counts).first()
+    if not total["n0"]:
         return None
-    seen = rows.select(F.explode("marks").alias("mark"), *categories).groupBy("mark").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories)).where("n >= 5")
-
-    def chi(c: str, one: int) -> Column:
-        a, n = F.col(c).cast("double"), F.col("n").cast("double")
-        gap = a * total - n * one
-        return F.try_divide(gap * gap * total, n * one * (total - n) * (total - one))
-
-    best = [seen.select("mark", chi(c, int(one)).alias("_chi")).orderBy(F.col("_chi").desc_nulls_last(), "mark").limit(max_marks // len(categories)) for c, one in zip(categories, ones, strict=True)]
-    taken = [{r["mark"] for r in b.collect()} for b in best]
-    vocabulary = {m: i for i, m in enumerate(sorted(set().union(*taken)))}
-    own = np.array([[m in marks_of for m in vocabulary] for marks_of in taken], dtype=bool)
-    table = rows.select("_key", _hits(F.col("marks"), vocabulary).alias("hits"), *categories).orderBy("_key").toArrow()
+    seen = rows.select("_fold", F.explode("marks").alias("mark"), *categories).groupBy("mark").agg(*counts).where("n0 >= 5")
+
+    def chi(c: str, v: int) -> Column:
+        a, n, one, every = F.col(f"{c}{v}").cast("double"), F.col(f"n{v}").cast("double"), int(total[f"{c}{v}"] or 0), int(total[f"n{v}"])
+        gap = a * every - n * one
+        return F.try_divide(gap * gap * every, n * one * (every - n) * (every - one))
+
+    seen = cut(seen)
+    most = max_marks // len(categories)
+    best = lambda c, v: {r["mark"] for r in seen.select("mark", chi(c, v).alias("_chi")).orderBy(F.col("_chi").desc_nulls_last(), "mark").limit(most).collect()}
+    taken = [best(c, 0) for c in categories]
+    without = [[best(c, v) for c in categories[:-1]] for v in range(1, folds + 1)]
+    vocabulary = {m: i for i, m in enumerate(sorted(set().union(*taken, *(m for per in without for m in per))))}
+    mask = lambda sets: np.array([[m in x for m in vocabulary] for x in sets], dtype=bool).reshape(len(sets), len(vocabulary))
+    own = mask(taken)
+    table = rows.select("_key", "_fold", _hits(F.col("marks"), vocabulary).alias("hits"), *categories).orderBy("_key", "_fold", "hits").toArrow()
     hits = [np.array(h, dtype=np.int64) for h in table["hits"].to_pylist()]
     y = np.column_stack([np.array(table[c].to_pylist(), dtype=np.float64) for c in categories])
-    return fit_chain(categories, vocabulary, hits, y, own)
+    chain = fit_chain(categories, vocabulary, hits, y, own, table["_fold"].to_numpy(), [mask(per) for per in without], folds)
+    return _narrowed(chain, own.any(axis=0))
 
 
 def _hits(found: Column, vocabulary: dict[str, int]) -> Column:
