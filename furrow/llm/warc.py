@@ -26,6 +26,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.operators.graph import hot_from
 from furrow.session import cut, scratch
 
 #: Bytes of records, before compression, after which a task begins another archive.
@@ -254,15 +255,24 @@ def revisits(captures: DataFrame, least: int = LEAST_SHARED, rank: Column | None
 
     Of equal payloads of at least ``least`` bytes the capture with the largest ``rank`` (the source as
     a number, unless given; nulls are smallest, ties go to the later place) is the one that others
-    revisit. The digests are reduced before the shuffle and joined back as one row for each.
+    revisit. The digests are reduced before the shuffle and joined back as one row for each; smaller
+    payloads take no part in the join, and captures of a hot digest stay where they are: those digests,
+    few by definition of the limit, go to every task.
     """
+    limit = hot_from(captures.count())
     place = F.struct((F.col("source").try_cast("long") if rank is None else rank).alias("rank"), "archive", "offset", "source", "url", "date")
     shared = (
         captures.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.max(place).alias("of"), F.count("*").alias("n"))
-        .where("n > 1").select(F.col("digest").alias("_digest"), "of")
+        .where("n > 1").select(F.col("digest").alias("_digest"), "of", "n")
     )
+    hot = F.broadcast(shared.where(F.col("n") > limit).drop("n"))
+    cold = shared.where(F.col("n") <= limit).drop("n")
+    large = captures.where(F.col("n_bytes") >= least)
+    alone = captures.where(F.coalesce(F.col("n_bytes") < least, F.lit(True))).withColumns({c: F.lit(None).cast(shared.schema[c].dataType) for c in ("_digest", "of")})
     own = (F.col("archive") == F.col("of.archive")) & (F.col("offset") == F.col("of.offset"))
-    joined = captures.join(shared, F.col("digest") == F.col("_digest"), "left")
+    same = F.col("digest") == F.col("_digest")
+    rest = large.join(hot.select("_digest"), same, "left_anti").join(cold, same, "left")
+    joined = large.join(hot, same).unionByName(rest).unionByName(alone)
     there = F.col("of").isNotNull() & ~own
     return joined.select(captures.columns + [F.when(there, F.col(f"of.{c}")).alias(f"of_{c}") for c in ("source", "url", "date")] + [there.alias("again")])
 
