@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from furrow.plans.registry import query
@@ -9,17 +11,19 @@ from furrow.session import scratch
 from furrow.streaming import flows as W
 
 
-def _events(t, files: int = 4):
+def _events(t, files: int = 4, closed: str | None = None):
     # Event time with a time zone, which windows and watermarks want.
     events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     path = W.replay(events, "ts", files)
+    if closed:
+        W.close(events, path, "ts", closed)
     return events, W.files_stream(t.spark, path, events.schema)
 
 
 def _last(t, path: str, keys: list[str]):
-    """The last batch's row of each key: every batch holds the complete result, or newer rows of its keys."""
+    """The last batch's row of each key: a batch holds the newer rows of its keys."""
     df = t.spark.read.parquet(path)
-    return df.join(F.broadcast(df.agg(F.max("batch").alias("batch"))), "batch").drop("batch") if not keys else df.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys)), "batch").alias("s")).select(*keys, "s.*").drop("batch")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys)), "batch").alias("s")).select(*keys, "s.*").drop("batch")
 
 
 query("ST2 ST6", "tumbling_windows", """
@@ -29,8 +33,8 @@ query("ST2 ST6", "tumbling_windows", """
 
 def _tumbling(t):
     path = scratch(t.spark, "tumbling")
-    W.run(W.tumbling(_events(t)[1], "ts", "20 days", "2 days", ["event_type"]), "complete", W.by_batch(path))
-    return _last(t, path, []).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    W.run(W.tumbling(_events(t)[1], "ts", "20 days", "2 days", ["event_type"]), "update", W.by_batch(path))
+    return _last(t, path, ["start", "event_type"]).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 query("ST7", "session_windows", """
@@ -41,8 +45,8 @@ query("ST7", "session_windows", """
 
 def _sessions(t):
     path = scratch(t.spark, "sessions")
-    W.run(W.sessions(_events(t)[1], "ts", "12 hours", "1 day", "user_id"), "complete", W.by_batch(path))
-    return _last(t, path, []).select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
+    W.run(W.sessions(_events(t, closed="30 days")[1], "ts", "12 hours", "1 day", "user_id"), "append", W.by_batch(path))
+    return t.spark.read.parquet(path).where("user_id is not null").select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
 query("ST1 J8", "resume_by_status", "select distinct user_id from events where event_type<>'error'")(lambda t: _resume(t))
@@ -68,7 +72,17 @@ def _watchdog(t):
     return _last(t, path, ["user_id"])
 
 
-query("ST3 ST8", "idempotent_upsert", "select cast(cast(ts as date) as varchar) as day, count(*) as n, round(sum(value),4) as total from events group by 1")(lambda t: _upsert(t))
+query("ST3", "file_readiness", "select cast(3 as bigint) as later, cast(0 as bigint) as at_once")(lambda t: _ready(t))
+
+
+def _ready(t):
+    """Files that were just written are ready once they are old enough by the clock, and not at once."""
+    path = W.replay(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", 3)
+    some = lambda now, name: W.ready(path, t.spark, now).agg(F.count("*").alias(name))
+    return some(time.time() + 3600, "later").crossJoin(some(time.time() - 3600, "at_once"))
+
+
+query("ST8", "idempotent_upsert", "select cast(cast(ts as date) as varchar) as day, count(*) as n, round(sum(value),4) as total from events group by 1")(lambda t: _upsert(t))
 
 
 def _upsert(t):
