@@ -19,12 +19,12 @@ def _digest(edges: DataFrame) -> tuple[int, object, int]:
     return (n or 0) // 2, digest, most or 0
 
 
-#: Keys with more rows than this, and than a millionth of all, are hot: at most a million of them.
+#: Keys with more rows than this, and than a fifty-thousandth of all, are hot: at most 50,000 of them.
 HOT = 1000
 
 
 def hot_from(rows: int) -> int:
-    return max(HOT, rows // 1_000_000)
+    return max(HOT, rows // 50_000)
 
 
 def with_least(df: DataFrame, key: str, value: str, name: str, rows: int) -> DataFrame:
