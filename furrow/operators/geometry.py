@@ -118,11 +118,13 @@ def coverage(px: DataFrame, covering: DataFrame, key: str = "poly_id") -> DataFr
 
 
 def parts(px: DataFrame, group: str) -> DataFrame:
-    """group, part, n_px: the 4-connected parts of pixel sets; a part is named by its smallest pixel key."""
+    """group, part, n_px: the 4-connected parts of pixel sets; a part is named by a hash of one of its pixels.
+
+    A pixel's key is a 64-bit hash of group and place, so groups and places may be any numbers.
+    """
     from furrow.operators.graph import components
 
-    big = 1 << 20
-    node = F.col(group).cast("long") * (1 << 42) + (F.col("px") + big // 2) * (1 << 21) + (F.col("py") + big // 2)
+    node = F.xxhash64(F.col(group).cast("long"), F.col("px").cast("long"), F.col("py").cast("long"))
     nodes = px.select(group, "px", "py", node.alias("node"))
     rows, cols = Window.partitionBy(group, "py").orderBy("px"), Window.partitionBy(group, "px").orderBy("py")
     beside = nodes.select("node", F.when(F.lag("px").over(rows) == F.col("px") - 1, F.lag("node").over(rows)).alias("w"), F.when(F.lag("py").over(cols) == F.col("py") - 1, F.lag("node").over(cols)).alias("s"))
