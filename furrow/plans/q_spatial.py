@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from furrow.functions.scalars import albers, albers_constants, box_degrees, ellipsoid_cell_area, quadkey, r6, slippy_tile
 from furrow.operators import geometry as G
+from furrow.operators import polygons
 from furrow.operators import spatial as J
 from furrow.plans.registry import query
+from furrow.sources.geopackage import encode_polygons
 
 #: Overlapping pairs of boxes in DuckDB.
 PAIRS = """select a.poly_id as a, b.poly_id as b, (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0)) as inter_px,
@@ -114,6 +117,43 @@ query("G28", "tree_fraction", """
 query("G29", "band_share", "select b as band, round(1-pow((4500-b)/4500.0::double,2),6) as share from (select unnest([10,50,100,500]) as b)")(
     lambda t: t.spark.createDataFrame([(b, G.band_share(4500, b)) for b in (10, 50, 100, 500)], "band int, share double").withColumn("share", r6("share")))
 
+_CORNERED = """
+  l as (select poly_id, x0, y0, x1, y1, cast(floor((x0+x1)/2.0) as bigint) as xm, cast(floor((y0+y1)/2.0) as bigint) as ym from fx_poly)
+"""
+
+
+def _cornered(t):
+    """The polygons without their upper right quarter and with a hole of a pixel: (poly_id, geom)."""
+
+    @F.arrow_udf("binary")
+    def blob(x0s: pa.Array, y0s: pa.Array, x1s: pa.Array, y1s: pa.Array) -> pa.Array:
+        out = []
+        for x0, y0, x1, y1 in zip(x0s.to_pylist(), y0s.to_pylist(), x1s.to_pylist(), y1s.to_pylist(), strict=True):
+            xm, ym = (x0 + x1) // 2, (y0 + y1) // 2
+            outer = [(x0, y0), (x1, y0), (x1, ym), (xm, ym), (xm, y1), (x0, y1)]
+            out.append(encode_polygons([[outer, [(x0 + 1, y0 + 1), (x0 + 2, y0 + 1), (x0 + 2, y0 + 2), (x0 + 1, y0 + 2)]]]))
+        return pa.array(out, pa.binary())
+
+    return t.poly.select("poly_id", blob("x0", "y0", "x1", "y1").alias("geom"))
+
+
+query("G20 J13", "polygon_centre_rule", f"""
+  with {_CORNERED} select p.poly_id, px, py from fx_px p join l on p.poly_id=l.poly_id where not (px>=xm and py>=ym) and not (px=l.x0+1 and py=l.y0+1)
+""")(lambda t: polygons.polygon_pixels(_cornered(t)).select("poly_id", "px", "py"))
+
+query("J11 J12 S36", "point_in_rings", f"""
+  with {_CORNERED}, p as (select c_custkey as pt, (c_custkey*7)%100+0.25 as x, (c_custkey*13)%(2*(select max(y1) from fx_poly))+0.75 as y from customer)
+  select pt, poly_id from p join l on x>=x0 and x<x1 and y>=y0 and y<y1 where not (x>=xm and y>=ym) and not (floor(x)=x0+1 and floor(y)=y0+1)
+""")(lambda t: _in_rings(t))
+
+
+def _in_rings(t):
+    top = t.poly.agg((2 * F.max("y1")).alias("top"))
+    c = F.col("c_custkey")
+    points = t.customer.join(F.broadcast(top)).select(c.alias("pt"), (c * 7 % 100 + 0.25).alias("x"), (c * 13 % F.col("top") + 0.75).alias("y"))
+    return polygons.point_in_polygon(points, _cornered(t)).select("pt", "poly_id")
+
+
 query("J11", "point_in_polygon", """
   select y.poly_id as pt, y.yr, p.poly_id from (select poly_id, yr, (x0+x1)/2.0::double as x, (y0+y1)/2.0::double as y from fx_poly_year) y join fx_poly p on y.x>=p.x0 and y.x<p.x1 and y.y>=p.y0 and y.y<p.y1
 """)(lambda t: J.point_in_box(_points(t), t.poly.select("poly_id", "x0", "y0", "x1", "y1")).select("pt", "yr", "poly_id"))

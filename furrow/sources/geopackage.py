@@ -21,6 +21,18 @@ from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType,
 #: Bytes of the envelope by its code in the header's flags.
 ENVELOPES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
 _MANIFEST = "manifest.json"
+#: The application id and the tables that the GeoPackage standard asks of every file.
+_TABLES = """
+PRAGMA application_id = 1196444487;
+PRAGMA user_version = 10300;
+CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
+INSERT INTO gpkg_spatial_ref_sys VALUES
+  ('Undefined Cartesian', -1, 'NONE', -1, 'undefined', NULL), ('Undefined geographic', 0, 'NONE', 0, 'undefined', NULL),
+  ('WGS 84', 4326, 'EPSG', 4326, 'undefined', NULL), ('GDA94 / Australian Albers', 3577, 'EPSG', 3577, 'undefined', NULL);
+CREATE TABLE gpkg_contents (table_name TEXT NOT NULL PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME NOT NULL DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER REFERENCES gpkg_spatial_ref_sys(srs_id));
+CREATE TABLE gpkg_geometry_columns (table_name TEXT NOT NULL, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL, PRIMARY KEY (table_name, column_name));
+CREATE TABLE gpkg_extensions (table_name TEXT, column_name TEXT, extension_name TEXT NOT NULL, definition TEXT NOT NULL, scope TEXT NOT NULL);
+"""
 
 
 def encode_box(x0: float, y0: float, x1: float, y1: float, srs: int = 3577) -> bytes:
@@ -30,6 +42,23 @@ def encode_box(x0: float, y0: float, x1: float, y1: float, srs: int = 3577) -> b
     return b"GP" + struct.pack("<BBi4d", 0, 0b11, srs, x0, x1, y0, y1) + wkb
 
 
+def encode_polygons(parts: list[list[list[tuple[float, float]]]], srs: int = 3577) -> bytes:
+    """Parts, each its outer ring and its holes, as a blob: a polygon if there is one part, else a multipolygon."""
+    points = [p for rings_of in parts for ring in rings_of for p in ring]
+    xs, ys = zip(*points, strict=True)
+
+    def polygon(rings_of: list) -> bytes:
+        out = struct.pack("<BII", 1, 3, len(rings_of))
+        for ring in rings_of:
+            closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
+            out += struct.pack("<I", len(closed)) + b"".join(struct.pack("<2d", *p) for p in closed)
+        return out
+
+    body = b"".join(map(polygon, parts))
+    wkb = body if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + body
+    return b"GP" + struct.pack("<BBi4d", 0, 0b11, srs, min(xs), max(xs), min(ys), max(ys)) + wkb
+
+
 def decode_header(blob: bytes) -> tuple[int, tuple[float, float, float, float] | None, int]:
     """Reference system, (minx, miny, maxx, maxy) if the header has it, and where the WKB begins."""
     if blob[:2] != b"GP":
@@ -46,19 +75,26 @@ def decode_header(blob: bytes) -> tuple[int, tuple[float, float, float, float] |
 
 
 def rings(blob: bytes) -> list[list[tuple[float, float]]]:
-    """The rings of a polygon blob."""
-    at = decode_header(blob)[2]
-    order = "<" if blob[at] else ">"
-    kind, n = struct.unpack_from(order + "II", blob, at + 1)
-    if kind != 3:
-        raise ValueError(f"geometry type {kind} is not a polygon")
-    at += 9
-    out = []
-    for _ in range(n):
-        (count,) = struct.unpack_from(order + "I", blob, at)
-        flat = struct.unpack_from(order + f"{2 * count}d", blob, at + 4)
-        out.append(list(zip(flat[::2], flat[1::2], strict=True)))
-        at += 4 + 16 * count
+    """The rings of a polygon's or a multipolygon's blob, of all parts one after the other."""
+    out: list[list[tuple[float, float]]] = []
+
+    def shape(at: int) -> int:
+        order = "<" if blob[at] else ">"
+        kind, n = struct.unpack_from(order + "II", blob, at + 1)
+        if kind not in (3, 6):
+            raise ValueError(f"geometry type {kind} is neither a polygon nor a multipolygon")
+        at += 9
+        for _ in range(n):
+            if kind == 6:
+                at = shape(at)
+                continue
+            (count,) = struct.unpack_from(order + "I", blob, at)
+            flat = struct.unpack_from(order + f"{2 * count}d", blob, at + 4)
+            out.append(list(zip(flat[::2], flat[1::2], strict=True)))
+            at += 4 + 16 * count
+        return at
+
+    shape(decode_header(blob)[2])
     return out
 
 
@@ -72,6 +108,9 @@ def envelope(blob: bytes) -> tuple[float, float, float, float]:
 
 
 def _local(path: str) -> str:
+    """A path as the file system knows it; SQLite opens no other stores."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError(f"{path}: a GeoPackage needs a folder that driver and executors mount")
     return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
 
 
@@ -124,7 +163,8 @@ class _Writer(DataSourceWriter):
         columns = ", ".join(f'"{f.name}" {kinds(f.dataType)}' + (" PRIMARY KEY" if f.name == "fid" else "") for f in self.schema.fields)
         con.execute(f'CREATE TABLE "{self.layer}" ({columns})')
         con.execute(f'CREATE VIRTUAL TABLE "rtree_{self.layer}_geom" USING rtree(id, minx, maxx, miny, maxy)')
-        con.execute("CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT, min_x REAL, min_y REAL, max_x REAL, max_y REAL, srs_id INTEGER)")
+        con.executescript(_TABLES)
+        con.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'GEOMETRY', 3577, 0, 0)", (self.layer,))
         marks = ", ".join("?" * len(self.schema.fields))
         at = {f.name: i for i, f in enumerate(self.schema.fields)}
         n, extent = 0, None
@@ -136,7 +176,7 @@ class _Writer(DataSourceWriter):
                 con.execute(f'INSERT INTO "rtree_{self.layer}_geom" VALUES (?, ?, ?, ?, ?)', (values[at["fid"]], x0, x1, y0, y1))
                 extent = (x0, y0, x1, y1) if extent is None else (min(extent[0], x0), min(extent[1], y0), max(extent[2], x1), max(extent[3], y1))
             n += 1
-        con.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, ?, ?, ?, 3577)", (self.layer, *(extent or (None,) * 4)))
+        con.execute("INSERT INTO gpkg_contents (table_name, data_type, identifier, min_x, min_y, max_x, max_y, srs_id) VALUES (?, 'features', ?, ?, ?, ?, ?, 3577)", (self.layer, self.layer, *(extent or (None,) * 4)))
         con.commit()
         con.close()
         return _Done(name, n)
