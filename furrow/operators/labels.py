@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from furrow.operators.sampling import mixed
+from furrow.operators.sampling import mixed, row_index
 
 
 def conflict_flags(df: DataFrame, paddock: list[str], crop: str, group: Column) -> DataFrame:
@@ -33,7 +33,8 @@ def review_sample(polygons: DataFrame, key: str, batch: int) -> DataFrame:
     """All flagged polygons and a seeded sample of the others, in review order."""
     rank = F.row_number().over(Window.partitionBy("triage_flag").orderBy(mixed(F.col(key)), key))
     chosen = polygons.withColumn("_rn", rank).where(F.col("triage_flag") | (F.col("_rn") <= batch))
-    return chosen.withColumn("review_order", F.row_number().over(Window.orderBy(F.col("triage_flag").desc(), F.col("_rn"), key))).drop("_rn")
+    placed = row_index(chosen.withColumn("_unflagged", ~F.col("triage_flag")), "_unflagged", "_rn", key)
+    return placed.withColumn("review_order", F.col("row_index") + 1).drop("_rn", "_unflagged", "row_index")
 
 
 def refreshed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from furrow.operators.sampling import row_index
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -49,10 +50,11 @@ def selected_forest(features: list[str], k: int, seed: int = 0) -> Pipeline:
 def group_folds(df: DataFrame, group: str, k: int, name: str = "fold") -> DataFrame:
     """A fold per group, large groups dealt first in turns, so that no group is split and folds are even."""
     sizes = df.groupBy(group).count()
-    order = F.row_number().over(Window.orderBy(F.col("count").desc(), group)) - 1
+    placed = row_index(sizes.withColumn("_less", -F.col("count")), "_less", group)
+    order = F.col("row_index")
     lap = F.floor(order / k)
     turn = F.when(lap % 2 == 0, order % k).otherwise(k - 1 - order % k).cast("int")  # back and forth
-    return df.join(sizes.select(group, turn.alias(name)), group)
+    return df.join(placed.select(group, turn.alias(name)), group)
 
 
 def temporal_split(df: DataFrame, year: str, last: int) -> tuple[DataFrame, DataFrame]:

@@ -123,3 +123,20 @@ def greedy_apart(df: DataFrame, score: str, key: str, x: str, y: str, group: str
             allowed &= (dx * dx + dy * dy >= apart * apart) & ~F.col(group).eqNullSafe(F.lit(c[group]))
         rest = rest.where(allowed)
     return chosen
+
+
+def lay_tiles(regions: DataFrame, region: str, x: str, y: str, grid: int, half: float, years: list[int], seed: int | None = None) -> DataFrame:
+    """A grid of square tiles about every region's centre for each year: stub, x, y, grid_r, grid_c, year and region.
+
+    With a seed each year's whole grid is moved by up to half a tile either way, by the year and the
+    seed alone, so that tile edges of different years cut different places and years can be added.
+    """
+    steps = F.sequence(F.lit(0), F.lit(grid - 1))
+    rows = regions.select(region, F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(F.array(*(F.lit(v) for v in years))).alias("year"))
+    rows = rows.withColumn("grid_r", F.explode(steps)).withColumn("grid_c", F.explode(steps))
+    moved = lambda k: F.lit(0.0) if seed is None else (mixed(F.col("year").cast("long"), seed + k) - 0.5) * 2 * half
+    step = lambda c: (F.col(c) - (grid - 1) / 2) * 2 * half
+    stub = F.concat(F.col(region), F.lit("_"), F.col("year"), F.lit("_r"), F.col("grid_r"), F.lit("c"), F.col("grid_c"))
+    return rows.select(
+        stub.alias("stub"), (F.col("_x") + moved(0) + step("grid_c")).alias(x), (F.col("_y") + moved(1) - step("grid_r")).alias(y), "grid_r", "grid_c", "year", region
+    )

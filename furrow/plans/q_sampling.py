@@ -23,11 +23,31 @@ query("T2", "parsed_key_order", "select stub from (select distinct concat('r', g
 query("T3 T15", "top_k", "select region, round(sum(ha),4) as ha from fx_mapped group by 1 order by 2 desc, 1 limit 5")(
     lambda t: t.mapped.groupBy("region").agg(F.round(F.sum("ha"), 4).alias("ha")).orderBy(F.col("ha").desc(), "region").limit(5))
 
-query("T4 C34", "greedy_apart")(lambda t: t.spark.createDataFrame(
+query("T4", "greedy_apart")(lambda t: t.spark.createDataFrame(
     [(r["trial"], r["site"], r["bal"]) for r in S.greedy_apart(t.sites, "bal", "trial", "lon", "lat", "site", 1.5, 8)], "trial long, site int, bal double"))
 
+_ALLOWED = "e.site<>{p}.site and (e.lon-{p}.lon)*(e.lon-{p}.lon)+(e.lat-{p}.lat)*(e.lat-{p}.lat)>=2.25"
+
+query("C34", "region_tiles", f"""
+  with e as (select trial, site, bal, lon, lat from fx_site where crop<>0 and bal>0),
+  p1 as (select * from e order by bal desc, trial limit 1), p2 as (select e.* from e, p1 where {_ALLOWED.format(p="p1")} order by e.bal desc, e.trial limit 1),
+  p3 as (select e.* from e, p1, p2 where {_ALLOWED.format(p="p1")} and {_ALLOWED.format(p="p2")} order by e.bal desc, e.trial limit 1),
+  p as (select concat('region', n) as region, lon, lat from (select 0 as n, * from p1 union all select 1, * from p2 union all select 2, * from p3) z)
+  select concat(region, '_', y, '_r', i, 'c', j) as stub, round(lon+({_mix('y', 7)}-0.5)*0.1+(j-1.5)*0.1,6) as lon, round(lat+({_mix('y', 8)}-0.5)*0.1-(i-1.5)*0.1,6) as lat,
+         cast(i as integer) as grid_r, cast(j as integer) as grid_c, cast(y as integer) as year, region
+  from p, (select unnest([2023,2024]::bigint[]) as y), (select unnest(range(4)) as i), (select unnest(range(4)) as j)
+""")(lambda t: _region_tiles(t))
+
+
+def _region_tiles(t):
+    """The best eligible sites, each far from the others and in a site of its own, and the tiles about them."""
+    chosen = S.greedy_apart(t.sites.where("crop <> 0 and bal > 0"), "bal", "trial", "lon", "lat", "site", 1.5, 3)
+    regions = t.spark.createDataFrame([(f"region{i}", r["lon"], r["lat"]) for i, r in enumerate(chosen)], "region string, lon double, lat double")
+    return S.lay_tiles(regions, "region", "lon", "lat", 4, 0.05, [2023, 2024], 7).withColumns({c: F.round(c, 6) for c in ("lon", "lat")})
+
+
 query("T6", "review_order", "select poly_id, row_number() over (order by (poly_id%3)*1000-area_ha*10, poly_id) as review_order from fx_poly")(
-    lambda t: t.poly.select("poly_id", F.row_number().over(S.Window.orderBy(F.col("poly_id") % 3 * 1000 - F.col("area_ha") * 10, "poly_id")).alias("review_order")))
+    lambda t: S.row_index(t.poly.select("poly_id", (F.col("poly_id") % 3 * 1000 - F.col("area_ha") * 10).alias("risk")), "risk", "poly_id").select("poly_id", (F.col("row_index") + 1).alias("review_order")))
 
 query("T7", "random_sample", f"select trial from (select trial from fx_site order by {_mix('trial', 3)}, trial limit 100)")(lambda t: S.sample_n(t.sites, "trial", 100, 3).select("trial"))
 
