@@ -250,7 +250,9 @@ def decode(ids: Column | str, path: str) -> Column:
 def round_trip(text: Column | str, path: str) -> Column:
     """struct<ids array<int>, decoded string>: a text's token ids and what they decode to, by one worker.
 
-    As ``encode`` and then ``decode`` on its ids, but a task holds one Python worker for both.
+    As ``encode`` and then ``decode`` on its ids, but a task holds one Python worker for both. Null and
+    empty texts have no ids and decode to an empty text, repeated rows are coded alike, an empty table
+    gives no rows, and no other column is read.
     """
 
     @F.arrow_udf("ids array<int>, decoded string")
