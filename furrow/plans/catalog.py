@@ -33,8 +33,8 @@ fx_poly as (
          w*h/100.0::double as area_ha, case k*5%3 when 0 then 'Canola' when 1 then 'Cereal' else 'Legume' end as pred,
          case when k%11=0 then 'area_below_min' when k%11=1 then 'no_crop_signal' when k%11=2 then null else '' end as abstain_reason,
          (k%5+1)/cast(k%5+k%3+k%7+3 as double) as p_canola, (k%3+1)/cast(k%5+k%3+k%7+3 as double) as p_cereal, (k%7+1)/cast(k%5+k%3+k%7+3 as double) as p_legume
-  from (select cast(floor(p_partkey/8) as bigint) as k, cast(floor(p_partkey/32) as bigint)%5 as kx, cast(floor(p_partkey/160) as bigint) as ky,
-               cast(4+p_size%9 as bigint) as w, cast(4+(p_size*3+cast(floor(p_partkey/8) as bigint))%9 as bigint) as h from part where p_partkey%8=0) q),
+  from (select cast(p_partkey as bigint) as k, cast(floor(p_partkey/4) as bigint)%5 as kx, cast(floor(p_partkey/20) as bigint) as ky,
+               cast(4+p_size%9 as bigint) as w, cast(4+(p_size*3+p_partkey)%9 as bigint) as h from part) q),
 fx_px as (select poly_id, kx, ky, px, unnest(range(y0, y1)) as py from (select poly_id, kx, ky, y0, y1, unnest(range(x0, x1)) as px from fx_poly)),
 fx_poly_year as (
   select poly_id, kx, ky, yr, x0+(poly_id*13+yr*5)%3-1 as x0, y0+(poly_id*7+yr*3)%3-1 as y0,
@@ -128,11 +128,11 @@ class Tables:
 
     @cached_property
     def poly(self) -> DataFrame:
-        """Field polygons as half-open pixel boxes on a lattice of 20 by 20 tiles, with class and reason."""
+        """Field polygons, one for each part, as half-open pixel boxes on a lattice of 20 by 20 tiles, with class and reason."""
         pk = F.col("p_partkey")
-        q = self.part.where(pk % 8 == 0).select(
-            F.floor(pk / 8).alias("poly_id"), (F.floor(pk / 32) % 5).alias("kx"), F.floor(pk / 160).alias("ky"),
-            (4 + F.col("p_size") % 9).cast("long").alias("w"), (4 + (F.col("p_size") * 3 + F.floor(pk / 8)) % 9).cast("long").alias("h"),
+        q = self.part.select(
+            pk.cast("long").alias("poly_id"), (F.floor(pk / 4) % 5).alias("kx"), F.floor(pk / 20).alias("ky"),
+            (4 + F.col("p_size") % 9).cast("long").alias("w"), (4 + (F.col("p_size") * 3 + pk) % 9).cast("long").alias("h"),
         )
         k = F.col("poly_id")
         x0, y0 = F.col("kx") * 20 + (k * 7) % 27 - 7, F.col("ky") * 20 + (k * 11) % 23 - 6
