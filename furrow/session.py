@@ -50,6 +50,12 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more, whatever store it lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Rows for each file of a checkpoint whose row count is known; fewer, larger files are cheaper to write.
 ROWS_PER_FILE = 200_000
 LEAST_FILES = 6
