@@ -323,3 +323,32 @@ def test_pipeline_stages_on_awkward_documents(spark):
 def test_run_gives_what_the_stages_give(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and "op6_quality_classifier" in QUERIES
+
+
+def test_captures_of_hot_digests_point_to_the_same_one(spark, monkeypatch):
+    """Hot, shared, lone and small payloads: the decision doesn't depend on what counts as hot."""
+    rng = random.Random(6)
+    rows = [("a" if i % 2 else "b", i, f"http://x/{i}", "20240101", rng.choice([str(i), str(i), None, "7"]), rng.choice([10, 5000, None]), rng.choice(["hot", "hot", "hot", f"d{i % 9}", f"lone{i}"])) for i in range(120)]
+    captures = spark.createDataFrame(rows, "archive string, offset long, url string, date string, source string, n_bytes long, digest string")
+    rank = lambda r: (r[4] is not None, int(r[4] or 0), r[0], r[1])
+    want = {}
+    for r in rows:
+        own = [x for x in rows if x[6] == r[6] and (x[5] or 0) >= warc.LEAST_SHARED] if (r[5] or 0) >= warc.LEAST_SHARED else []
+        best = max(own, key=rank, default=None)
+        want[r[1]] = best[2] if best is not None and best[:2] != r[:2] else None
+    for most in (10**6, 3):
+        monkeypatch.setattr(warc, "hot_from", lambda rows, most=most: most)
+        got = warc.revisits(captures).collect()
+        assert len(got) == len(rows)
+        assert {r.offset: r.of_url for r in got} == want and all(r.again == (r.of_url is not None) for r in got)
+
+
+def test_toxicity_folds_keep_copies_and_repeated_ids_together(spark):
+    """Marks of a fold come from the others alone: a word that one text's copies hold is no mark without them."""
+    rows = [(i, f"fine words here number{i % 7} again and more") for i in range(60)] + [(100 + i, "zork blarg said fine words") for i in range(8)]
+    labels = spark.createDataFrame([(i, int(i >= 100), int(i >= 100)) for i, _ in rows], "doc_id long, junk int, toxic int")
+    chain = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, ["junk", "toxic"])
+    zork = chain.vocabulary["zork"]
+    # Out of fold the copies' own words were unknown, so the first link's probability tells the second little.
+    assert chain.weights[0][zork] > 0 and chain.weights[1][zork] > 0
+    assert chain(sorted(chain.vocabulary[m] for m in toxicity.marks("zork blarg") if m in chain.vocabulary))[1] > 0.5
