@@ -9,7 +9,8 @@ compared per anchor on all 64 bits.
 
 ``similar_groups`` is for looser likeness, where three bits are too few: texts meet by bands of
 min-wise hashes of their shingles, a 128-bit fingerprint leaves out pairs that are far from alike,
-and the Jaccard similarity of the shingle sets decides every pair that is left.
+an estimate by more such hashes all that are hardly alike enough, and the Jaccard similarity of the
+shingle sets decides every pair that is left.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from furrow.operators.graph import components, with_least
 from furrow.session import cut
 
+
 def _majority(hashes: np.ndarray) -> bytes:
     """The bits set in over half of the rows of a byte matrix."""
     total = np.zeros(hashes.shape[1] * 8, dtype=np.int64)
@@ -50,7 +52,9 @@ def simhash(words: list[bytes], shingle: int, seed: int = 42) -> int:
 #: Bands of min-wise hashes and hashes per band: two texts of Jaccard similarity s meet with
 #: probability 1 - (1 - s^5)^24, at 0.8 in all but 7 of 100,000 cases.
 BANDS, BAND_ROWS = 24, 5
-_DRAWN = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+#: Min-wise hashes by which the similarity of two texts that met is estimated, those of the bands among them.
+HASHES = 300
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 64, (2, HASHES), dtype=np.uint64)
 _DRAWN[0] |= np.uint64(1)
 
 
@@ -61,15 +65,24 @@ def _distinct(words: list[bytes], shingle: int) -> np.ndarray:
     return np.frombuffer(hashes, dtype="<u8").reshape(-1, 2)
 
 
-def _bands(hashes: np.ndarray) -> list[int]:
-    """One signed key per band of the min-wise hashes; no shingles give none."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def _minima(hashes: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """The min-wise hashes of some shingles."""
+    least = np.full(drawn.shape[1], np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[at : at + 4096, None] * _DRAWN[0] + _DRAWN[1]).min(axis=0), out=least)
-    keys = [xxhash.xxh3_64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+        np.minimum(least, (hashes[at : at + 4096, None] * drawn[0] + drawn[1]).min(axis=0), out=least)
+    return least
+
+
+def _bands(least: np.ndarray) -> np.ndarray:
+    """One key per band of the min-wise hashes."""
+    rows = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(band.tobytes(), k) for k, band in enumerate(rows)], dtype=np.uint64)
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """Four bytes of each band's key, then the low byte of each min-wise hash."""
+    least = _minima(hashes, _DRAWN)
+    return _bands(least).astype("<u4").tobytes() + least.astype(np.uint8).tobytes()
 
 
 def fingerprint(text: Column | str, shingle: int = 3) -> Column:
@@ -160,48 +173,88 @@ def _forest(prints: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     return found
 
 
-def _edges(*thresholds: int):
-    """Rows (anchor, node, print words...) sorted by anchor to the edges of a spanning forest per anchor and threshold."""
+def _edges(threshold: int):
+    """Rows (anchor, node, fingerprint) sorted by anchor to the edges of a spanning forest per anchor."""
 
-    def runs(anchor: np.ndarray, node: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        prints = np.stack([w.view(np.uint64) for w in words], axis=1)
+    def runs(anchor: np.ndarray, node: np.ndarray, word: np.ndarray) -> Iterator[pa.RecordBatch]:
+        prints = word.view(np.uint64)[:, None]
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         size = np.diff(np.r_[first, len(anchor)])
         two = first[size == 2]
-        two = two[_apart(prints[two], prints[two + 1]) <= max(thresholds)]
+        two = two[_apart(prints[two], prints[two + 1]) <= threshold]
         src, dst = [node[two]], [node[two + 1]]
         for at, n in zip(first[size > 2], size[size > 2], strict=True):
             own = node[at : at + n]
-            for threshold in thresholds:
-                if pairs := _linked(prints[at : at + n], threshold):
-                    a, b = np.array(pairs).T
-                    src.append(own[a])
-                    dst.append(own[b])
+            if pairs := _linked(prints[at : at + n], threshold):
+                a, b = np.array(pairs).T
+                src.append(own[a])
+                dst.append(own[b])
         pairs = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
 
     return _by_run(runs)
 
 
-def _crossing(threshold: int):
-    """Rows (anchor, node, part, print words...) sorted by anchor to all pairs near each other that differ in part."""
+def _first_met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first band that the texts of two rows of sketches share."""
+    a, b = (np.ascontiguousarray(s[:, : 4 * BANDS]).view("<u4") for s in (x, y))
+    return (a == b).argmax(axis=1)
 
-    def runs(anchor: np.ndarray, node: np.ndarray, part: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        prints = np.stack([w.view(np.uint64) for w in words], axis=1)
-        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        size = np.diff(np.r_[first, len(anchor)])
+
+def _promising(least: float, best: bool):
+    """Rows (run, node, part, band, block, low, high, sketch) sorted by run to pairs (src, dst, alike) of different parts.
+
+    Pairs differ in at most ``POSSIBLE`` bits and agree in ``least`` or more of the min-wise hashes;
+    each is made in the first band that it shares alone. ``best`` keeps every node's best pair of a run.
+    """
+
+    def compared(part, band, block, prints, sketch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        n, one = len(part), (block == block[0]).all()
+        for at in range(0, n, 256):
+            own, rest = slice(at, at + 256), slice(at, n)
+            near = (_apart(prints[own, None, :], prints[None, rest, :]) <= POSSIBLE) & (part[own, None] != part[None, rest])
+            if not one:
+                near &= block[own, None] != block[None, rest]
+            a, b = np.nonzero(np.triu(near, 1))
+            for k in range(0, len(a), 32768):
+                i, j = at + a[k : k + 32768], at + b[k : k + 32768]
+                x, y = sketch[i], sketch[j]
+                alike = (x[:, 4 * BANDS :] == y[:, 4 * BANDS :]).mean(axis=1)
+                good = alike >= least
+                good[good] = _first_met(x[good], y[good]) == band
+                if good.any():
+                    yield i[good], j[good], alike[good]
+
+    def runs(run, node, part, band, block, low, high, sketch) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        size = np.diff(np.r_[first, len(run)])
         mixed = np.minimum.reduceat(part, first) < np.maximum.reduceat(part, first)
         for start, n in zip(first[mixed], size[mixed], strict=True):
-            for at in range(start, start + n, 512):
-                own, rest = slice(at, min(at + 512, start + n)), slice(at, start + n)
-                near = _apart(prints[own, None, :], prints[None, rest, :]) <= threshold
-                a, b = np.nonzero(np.triu(near & (part[own, None] != part[None, rest]), 1))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at + a]), pa.array(node[at + b])], schema=_PAIR)
+            s = slice(start, start + n)
+            prints = np.stack([low[s].view(np.uint64), high[s].view(np.uint64)], axis=1)
+            sketches = np.frombuffer(b"".join(sketch[s]), dtype=np.uint8).reshape(n, -1)
+            pairs = compared(part[s], band[start], block[s], prints, sketches)
+            if not best:
+                for i, j, alike in pairs:
+                    yield _pairs(node[s][i], node[s][j], alike)
+                continue
+            most, who = np.zeros(n), np.full(n, -1)
+            for i, j, alike in pairs:
+                src, dst, new = np.r_[i, j], np.r_[j, i], np.r_[alike, alike]
+                order = np.lexsort((dst, new, src))
+                last = order[np.r_[src[order][1:] != src[order][:-1], True]]
+                last = last[new[last] > most[src[last]]]
+                most[src[last]], who[src[last]] = new[last], dst[last]
+            some = np.flatnonzero(who >= 0)
+            yield _pairs(node[s][some], node[s][who[some]], most[some])
 
     return _by_run(runs)
 
 
+def _pairs(src: np.ndarray, dst: np.ndarray, alike: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(alike)], names=["src", "dst", "alike"])
+
+
 _PAIR = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
@@ -214,7 +267,7 @@ def _by_run(runs):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = tuple(batch.column(i).to_numpy() for i in range(batch.num_columns))
+            new = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
             cut_at = int(np.searchsorted(new[0], new[0][-1]))
             if cut_at or (kept and kept[-1][0][-1] != new[0][0]):
                 done = [*kept, tuple(x[:cut_at] for x in new)]
@@ -278,42 +331,73 @@ def as_hex(print_col: Column | str) -> Column:
 
 #: Differing bits of 128 that a candidate pair may have. Jaccard 0.8 is a cosine of 0.89 or more, for
 #: which 19.4 bits are expected (standard deviation 4.1); unrelated texts differ in 64 (5.7).
-LIKELY, POSSIBLE = 26, 44
+POSSIBLE = 44
+#: Share of equal min-wise hashes from which on a pair is checked: at Jaccard 0.8 the standard
+#: deviation of 300 is 0.023, and 1 of 100,000 pairs falls below.
+ESTIMATE = 0.7
+#: Rows of a band that are compared in one task; a larger band is dealt out as pairs of its blocks.
+RUN_ROWS = 20_000
+#: Most promising pairs of every text that are checked before all that are left are.
+FIRST = 4
+
+
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """(run, node, part, band, block) of (node, bands, part): the bands that hold different parts."""
+    rows = nodes.select("node", "part", F.posexplode("bands").alias("band", "_key"))
+    per = rows.groupBy("_key").agg(F.count("*").alias("_n"), F.min("part").alias("_low"), F.max("part").alias("_high"))
+    per = per.where("_low < _high").select(F.col("_key").alias("_k"), F.ceil(F.col("_n") / RUN_ROWS).alias("_blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("_blocks"))
+    run = F.xxhash64("_key", F.least("block", "_other"), F.greatest("block", "_other"))
+    return (
+        rows.join(per, F.col("_key") == F.col("_k"))
+        .withColumn("block", block)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        .select(run.alias("run"), "node", "part", "band", "block")
+    )
 
 
-def _meetings(nodes: DataFrame, over, *cols: str) -> DataFrame:
-    """Distinct (src, dst), src < dst, that ``over`` makes of the nodes that share a band."""
-    pairs = (
-        nodes.select(F.explode("bands").alias("anchor"), "node", *cols, "low", "high")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor")
-        .mapInArrow(over, "src long, dst long")
+def _meetings(nodes: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """(src, dst, alike) of the promising pairs of ``nodes`` (node, low, high, bands, part) that differ in part."""
+    rows = _crowded(nodes).join(nodes.select("node", "low", "high"), "node").join(sets.select("node", "sketch"), "node")
+    return (
+        rows.select("run", "node", "part", "band", "block", "low", "high", "sketch")
+        .repartition("run")
+        .sortWithinPartitions("run")
+        .mapInArrow(_promising(ESTIMATE, best), "src long, dst long, alike double")
     )
-    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least this Jaccard similarity."""
+    """The pairs whose shingle sets have at least this Jaccard similarity, the smaller node last."""
     a, b = (sets.select(F.col("node").alias(end), F.col("shingles").alias(name)) for end, name in (("src", "_a"), ("dst", "_b")))
-    both = pairs.join(a, "src").join(b, "dst").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
+    once = pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    both = once.join(a, "src").join(b, "dst").withColumn("_n", F.size(F.array_intersect("_a", "_b")))
     return both.where(F.col("_n") / (F.size("_a") + F.size("_b") - F.col("_n")) >= similarity).select("src", "dst")
 
 
+def text_key(text_col: Column | str) -> Column:
+    """The hash by which rows of one text are known."""
+    return F.xxhash64((F.col(text_col) if isinstance(text_col, str) else text_col).cast("binary"))
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per input row: id and component_id, over links of texts alike to ``similarity`` or more.
+    """One row per input row: id, text_key, component_id and group, over links of texts alike to ``similarity`` or more.
 
     The likeness of two texts is the Jaccard similarity of their sets of shingles, each a 64-bit hash;
-    every link is checked on the whole sets. Candidates are pairs that share a band (see ``BANDS``) and
-    differ in at most ``POSSIBLE`` bits; both are set for a ``similarity`` of 0.8 or more, below which
-    it may not lie. A spanning forest of the candidates is checked first; then all candidates that its
-    checked links leave in different components are, so no failed link hides another. That second
-    step grows with the pairs of texts that are candidates and not linked.
-    Nulls, blank texts, repeated rows and empty tables are as with ``near_duplicates``; texts with the
-    same set of shingles are one node.
+    every link is checked on the whole sets. Candidates are pairs that share a band (see ``BANDS``),
+    differ in at most ``POSSIBLE`` bits and whose similarity is estimated at ``ESTIMATE`` or more; all
+    three are set for a ``similarity`` of 0.8 or more, below which it may not lie. The ``FIRST`` most
+    promising candidates of each text are checked first; then all candidates that their links leave in
+    different components are, so that no failed link hides another. That second step grows with the
+    pairs of texts that are candidates and not linked.
+    component_id is the smallest id of the component, group a number of its own, as components of rows
+    that share an id can share their component_id too. Nulls, blank texts, repeated rows and empty
+    tables are as with ``near_duplicates``; texts with the same set of shingles are one node.
     """
     if similarity < 0.8:
         raise ValueError("the candidates are complete for similarities of 0.8 or more")
     kind = pa.struct([("node", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    drawn = _DRAWN[:, : BANDS * BAND_ROWS]
 
     @F.arrow_udf("node long, low long, high long, bands array<long>")
     def prints_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -323,46 +407,57 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 hashes = _distinct(t.as_py().lower().split() if t.is_valid else [], shingle)
                 wide = _majority(hashes.view(np.uint8).reshape(-1, 16)) if len(hashes) else bytes(16)
                 prints.append((xxhash.xxh3_64_intdigest(np.sort(hashes[:, 0]).tobytes()), int.from_bytes(wide[:8], "little"), int.from_bytes(wide[8:], "little")))
-                bands.append(_bands(hashes[:, 0]))
+                bands.append(_bands(_minima(hashes[:, 0], drawn)).view(np.int64).tolist() if len(hashes) else [])
             columns = np.array(prints, dtype=np.uint64).reshape(-1, 3).view(np.int64)
             yield pa.StructArray.from_arrays([*(pa.array(columns[:, i]) for i in range(3)), pa.array(bands, pa.list_(pa.int64()))], fields=list(kind))
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("shingles array<long>, sketch binary")
     def set_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([_distinct(t.as_py().lower().split(), shingle)[:, 0].view(np.int64) for t in texts], pa.list_(pa.int64()))
+            sets = [_distinct(t.as_py().lower().split(), shingle)[:, 0] for t in texts]
+            columns = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([_sketch(x) for x in sets], pa.binary())]
+            yield pa.StructArray.from_arrays(columns, names=["shingles", "sketch"])
 
     text = F.col(text_col).cast("binary")
-    marked = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), prints_of(text).alias("_p"))
-    marked = cut(marked.select("_id", "_text", "_p.*"))
+    marked = df.select(F.col(id_col).alias("_id"), text_key(text_col).alias("text_key"), prints_of(text).alias("_p"))
+    marked = cut(marked.select("_id", "text_key", "_p.*"))
     rows = marked.count()
-    nodes = cut(marked.groupBy("node").agg(F.min("_id").alias("_least"), F.min("_text").alias("_text"), F.min("low").alias("low"), F.min("high").alias("high"), F.first("bands").alias("bands")), rows)
-    forest = cut(_meetings(nodes, _edges(LIKELY, POSSIBLE)), rows)
-    ends = forest.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    met = cut(nodes.join(ends, "node", "left_semi"), rows)
+    nodes = cut(marked.groupBy("node").agg(F.min("_id").alias("_least"), F.min("text_key").alias("_text"), F.min("low").alias("low"), F.min("high").alias("high"), F.first("bands").alias("bands")), rows)
+    met = _crowded(nodes.withColumn("part", F.col("node"))).select("node").distinct()
+    met = cut(nodes.join(met, "node", "left_semi").select("node", "_text", "low", "high", "bands"), rows)
     # Only texts that met another go on as sets; copies are reduced before the shuffle.
-    texts = df.select(F.xxhash64(text).alias("_text"), text.alias("_own")).groupBy("_text").agg(F.first("_own").alias("_own"))
-    sets = cut(texts.join(met.select("node", "_text"), "_text").select("node", set_of("_own").alias("shingles")))
-    sure = cut(_alike(forest, sets, similarity), rows)
-    parted = met.join(components(sure, rows), "node", "left").withColumn("_part", F.coalesce("component", "node"))
-    more = cut(_alike(_meetings(parted, _crossing(POSSIBLE), "_part"), sets, similarity), rows)
-    named = nodes.join(components(sure.unionAll(more), rows), "node", "left").select("node", "_least", F.coalesce("component", "node").alias("_part"))
-    by_node = with_least(named, "_part", "_least", "component_id", rows).select("node", "component_id")
-    return marked.select("_id", "node").join(by_node, "node").select(F.col("_id").alias(id_col), "component_id")
+    texts = df.select(text_key(text_col).alias("_text"), text.alias("_own")).groupBy("_text").agg(F.first("_own").alias("_own"))
+    sets = cut(texts.join(met.select("node", "_text"), "_text").select("node", set_of("_own").alias("_s")).select("node", "_s.*"))
+    parted = met.withColumn("part", F.col("node"))
+    # A text has one pair for each of its bands at most.
+    ranked = _meetings(parted, sets, best=True).groupBy("src").agg(F.sort_array(F.collect_set(F.struct("alike", "dst")), asc=False).alias("_all"))
+    first = cut(_alike(ranked.select("src", F.explode(F.slice("_all", 1, FIRST)).alias("_p")).select("src", "_p.dst"), sets, similarity), rows)
+    parted = met.join(components(first, rows), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    rest = cut(_alike(_meetings(parted, sets, best=False), sets, similarity), rows)
+    part = components(first.unionAll(rest), rows)
+    named = nodes.join(part, "node", "left").select("node", "_least", F.coalesce("component", "node").alias("group"))
+    by_node = with_least(named, "group", "_least", "component_id", rows).select("node", "component_id", "group")
+    return marked.select("_id", "text_key", "node").join(by_node, "node").select(F.col("_id").alias(id_col), "text_key", "component_id", "group")
 
 
 def keep_one(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with the smallest id of their group; of repeated rows of that id one stays.
+    """One row of ``df`` for each group of ``found`` (id, text_key, group per row): that with the smallest id.
 
-    ``found`` has id and component_id per row. Rows without an id can't be named as a group's member:
-    of those one per text stays. Only the ids that go or occur more than once are joined to the texts.
+    Of rows that repeat the id within a group the text with the smallest key stays, and of rows that
+    repeat id and text the first by all their columns as JSON, so reruns agree; a group whose id another
+    group has too keeps its own row. Rows without an id can't be named as a group's member: of those one
+    per text stays. Only the keys that go or occur more than once are joined to the texts. Other columns
+    stay as they are; an empty table gives no rows.
     """
-    per_id = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
-        F.count("*").alias("_n"), F.max((F.col(id_col) == F.col("component_id")).cast("int")).alias("_kept")
-    )
-    per_id = cut(per_id.where("_n > 1 or _kept = 0"), df.count())
-    known = df.where(F.col(id_col).isNotNull())
-    plain = known.join(per_id, df[id_col] == per_id["_id"], "left_anti")
-    again = per_id.where("_kept = 1")
-    once = known.join(again, df[id_col] == again["_id"], "left_semi").dropDuplicates([id_col])
-    return plain.unionByName(once).unionByName(df.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    known = found.where(F.col(id_col).isNotNull())
+    first = known.groupBy("group").agg(F.min(F.struct(id_col, "text_key")).alias("s")).select(F.col(f"s.{id_col}").alias("id"), F.col("s.text_key").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("first"))
+    every = known.groupBy(F.col(id_col).alias("id"), F.col("text_key").alias("key")).agg(F.count("*").alias("n")).withColumn("first", F.lit(0))
+    per_key = every.unionByName(first).groupBy("id", "key").agg(F.sum("n").alias("n"), F.max("first").alias("first"))
+    odd = cut(per_key.where("n > 1 or first = 0"), found.count())
+    named = df.where(F.col(id_col).isNotNull())
+    meets = lambda keys: (named[id_col] == keys["id"]) & (text_key(named[text_col]) == keys["key"])
+    again = odd.where("first = 1")
+    repeats = named.join(again, meets(again), "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    rows = repeats.select(F.struct(*df.columns).alias("row"), F.xxhash64(id_col, text_key(text_col)).alias("key"))
+    once = rows.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return named.join(odd, meets(odd), "left_anti").unionByName(once)

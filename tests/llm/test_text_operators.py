@@ -273,3 +273,37 @@ def test_curriculum_inverts_its_integral(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, duck, name):
     assert_same(QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLES[name]).df())
+
+
+def test_keep_one_keeps_every_text_of_a_repeated_id(spark):
+    """Two rows of one id with unlike texts are two groups; which row stays doesn't depend on the order of rows."""
+    one, two = (" ".join(f"{w}{i}" for i in range(300)) for w in ("one", "two"))
+    rows = [(7, one, "a"), (7, two, "b"), (7, two, "a"), (9, one, "c"), (3, two + " more", "d"), (8, one + " more", "e")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, id string").repartition(3)
+        kept = simhash.keep_one(docs, simhash.similar_groups(docs))
+        assert sorted(map(tuple, kept.collect())) == [(3, two + " more", "d"), (7, one, "a")]
+
+
+def test_a_crowded_band_is_dealt_out_without_loss(spark, monkeypatch):
+    """A band with more rows than a task takes finds the same groups as one task."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(120)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for _, t in rows]
+    least = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = [new if x == old else x for x in least]
+    assert 5 < len(set(least)) < 80
+    for most in (20_000, 13):
+        monkeypatch.setattr(simhash, "RUN_ROWS", most)
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == dict(enumerate(least))
