@@ -114,15 +114,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(((rows - self.mean) / self.scale) @ self.weights + self.bias, -30, 30)))
 
 
+def _standard(rows: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Rows in units of their spread, within eight of them, in the rows' own precision and one copy."""
+    out = rows - mean.astype(rows.dtype)
+    out /= scale.astype(rows.dtype)
+    return np.clip(out, -8, 8, out=out)
+
+
 def fit_nnpu(good: np.ndarray, mixed: np.ndarray, prior: float, steps: int = 600, rate: float = 0.03, decay: float = 1e-3) -> Model:
     """Non-negative PU risk with logistic loss, by Adam over all rows at each step."""
-    mean, scale = mixed.mean(axis=0), mixed.std(axis=0) + 1e-3
-    p, u = np.clip((good - mean) / scale, -8, 8), np.clip((mixed - mean) / scale, -8, 8)
+    mean = mixed.mean(axis=0, dtype=np.float64)
+    scale = mixed.std(axis=0, dtype=np.float64) + 1e-3
+    p, u = _standard(good, mean, scale), _standard(mixed, mean, scale)
     w, b = np.zeros(p.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
+        own = w.astype(p.dtype)
+        zp, zu = (p @ own).astype(np.float64) + b, (u @ own).astype(np.float64) + b
         # d/dz log(1 + e^-z) = -sigmoid(-z); d/dz log(1 + e^z) = sigmoid(z)
         as_good = -sigmoid(-zp) * prior / len(p)
         as_bad_p, as_bad_u = sigmoid(zp) * prior / len(p), sigmoid(zu) / len(u)
@@ -131,7 +140,7 @@ def fit_nnpu(good: np.ndarray, mixed: np.ndarray, prior: float, steps: int = 600
             gp, gu = as_good - as_bad_p, as_bad_u
         else:
             gp, gu = as_bad_p, -as_bad_u
-        grad = np.r_[p.T @ gp + u.T @ gu + decay * w, gp.sum() + gu.sum()]
+        grad = np.r_[p.T @ gp.astype(p.dtype) + u.T @ gu.astype(p.dtype) + decay * w, gp.sum() + gu.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -151,7 +160,8 @@ def estimated_prior(good: np.ndarray, mixed: np.ndarray, parts: int = 2, error:
     for k in range(parts):
         model = fit_nnpu(good[place[0] != k], mixed[place[1] != k], 0.5, steps=200)
         for x, at, out in zip((good, mixed), place, scores, strict=True):
-            out[at == k] = model(np.clip(x[at == k], model.mean - 8 * model.scale, model.mean + 8 * model.scale))
+            z = _standard(x[at == k], model.mean, model.scale) @ model.weights.astype(x.dtype)
+            out[at == k] = 1 / (1 + np.exp(-np.clip(z + model.bias, -30, 30)))
     cuts = np.quantile(scores[0], np.linspace(0, 0.9, 91))
     share = lambda x: 1 - np.searchsorted(np.sort(x), cuts, side="left") / len(x)
     slack = np.sqrt(np.log(4 / error) / 2) * (1 / np.sqrt(len(good)) + 1 / np.sqrt(len(mixed)))
@@ -186,13 +196,15 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .where(F.col("_good") | in_share("_key", share_of(n_docs, max_mixed), "mixed"))
         .select(F.coalesce("_good", F.lit(False)).alias("good"), in_share("_key", share_of(n_docs, max_mixed), "mixed").alias("mixed"), "_key", _shapes(F.col("_text").cast("binary")).alias("x"))
     )
-    table = rows.toArrow().combine_chunks()
-    table = table.sort_by([("_key", "ascending")])  # the fit doesn't depend on the order of partitions
-    x = table["x"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, len(FEATURES))
-    is_good, is_mixed = (np.array(table[c].to_pylist(), dtype=bool) for c in ("good", "mixed"))
+    # Single precision, as the features come, keeps the driver's copies small.
+    table = rows.toArrow().sort_by([("_key", "ascending")])  # the fit doesn't depend on the order of partitions
+    is_good, is_mixed = (table[c].to_numpy() for c in ("good", "mixed"))
     if not is_good.any() or not is_mixed.any():
         return None
-    return fit_nnpu(x[is_good], x[is_mixed], estimated_prior(x[is_good], x[is_mixed]))
+    x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    own, mixed = x[is_good], x[is_mixed]
+    del x, table
+    return fit_nnpu(own, mixed, estimated_prior(own, mixed))
 
 
 def score(text: Column | str, model: Model | None) -> Column:
