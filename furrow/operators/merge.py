@@ -47,7 +47,7 @@ _MERGEABLE = ("same_class", "class_conflict_reconciled")
 def with_home(poly: DataFrame, size: int = 20) -> DataFrame:
     """Polygons with the cell that owns their centre, and whether that is another than their own."""
     hx, hy = F.floor((F.col("x0") + F.col("x1")) / 2.0 / size), F.floor((F.col("y0") + F.col("y1")) / 2.0 / size)
-    return poly.withColumns({"home_kx": hx, "home_ky": hy, "away": (hx != F.col("kx")) | (hy != F.col("ky")), "reason": F.coalesce("abstain_reason", F.lit(""))})
+    return G.dealt(poly).withColumns({"home_kx": hx, "home_ky": hy, "away": (hx != F.col("kx")) | (hy != F.col("ky")), "reason": F.coalesce("abstain_reason", F.lit(""))})
 
 
 def _pairs(px_a: DataFrame, px_b: DataFrame) -> DataFrame:
@@ -183,8 +183,7 @@ def seam_audit(poly: DataFrame, px: DataFrame, min_cut: float = 40, probe: int =
     rows = with_home(poly, size)
     cut = G.edge_touch(px, size)
     truncated = cut.where(F.col("edge_m") >= min_cut).select("poly_id")
-    ring = G.dilated(px.join(truncated, "poly_id", "left_semi"), rings=probe).join(px.select("poly_id", "px", "py"), ["poly_id", "px", "py"], "left_anti")
-    ring = ring.join(rows.select("poly_id", "kx", "ky", "pred"), "poly_id").where((F.floor(F.col("px") / size) != F.col("kx")) | (F.floor(F.col("py") / size) != F.col("ky")))
+    ring = G.ring(px.join(truncated, "poly_id", "left_semi"), rings=probe).join(rows.select("poly_id", "kx", "ky", "pred"), "poly_id").where((F.floor(F.col("px") / size) != F.col("kx")) | (F.floor(F.col("py") / size) != F.col("ky")))
     other = px.select(F.col("poly_id").alias("o_id"), "px", "py").join(rows.select(F.col("poly_id").alias("o_id"), F.col("pred").alias("o_pred"), F.col("reason").alias("o_reason")), "o_id")
     met = ring.join(other, ["px", "py"], "left").where(F.col("o_id").isNull() | (F.col("o_id") != F.col("poly_id")))
     kind = F.when(F.col("o_id").isNull(), 0).when(F.col("o_reason") != "", 1).when(F.col("o_pred") != F.col("pred"), 2).otherwise(3)
@@ -206,7 +205,7 @@ def grafts(target: DataFrame, target_px: DataFrame, donors: DataFrame, donor_px:
     area = target_px.groupBy("poly_id").agg(F.count("*").alias("own_px"))
     best = Window.partitionBy("poly_id", "rank").orderBy(F.col("inter").desc(), "donor")
     chosen = pairs.join(area, "poly_id").withColumn("_rn", F.row_number().over(best)).where("_rn = 1").withColumn("cov", F.col("inter") / F.col("own_px").cast("double"))
-    taken = target_px.select("px", "py").distinct()
+    taken = G.dealt(target_px.select("px", "py").distinct())
     added = chosen.join(donor_px.select(F.col("poly_id").alias("donor"), "rank", "px", "py"), ["donor", "rank"]).join(taken, ["px", "py"], "left_anti").groupBy("poly_id", "rank").agg(F.count("*").alias("added_px"))
     tried = chosen.join(added, ["poly_id", "rank"], "left").withColumn("added_px", F.coalesce("added_px", F.lit(0)))
     reason = (
