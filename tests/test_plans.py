@@ -86,6 +86,7 @@ def test_hot_paths_hold_no_python(spark, name):
 #: Queries over exploded pixels, cells or years, whose estimated size is that of the rows before.
 DEALT = [
     "c18_seam_audit",
+    "c3_away_decisions",
 ]
 
 
