@@ -87,6 +87,7 @@ def test_hot_paths_hold_no_python(spark, name):
 DEALT = [
     "c18_seam_audit",
     "c3_away_decisions",
+    "c4_union_features",
 ]
 
 
