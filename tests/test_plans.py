@@ -88,6 +88,7 @@ DEALT = [
     "c18_seam_audit",
     "c3_away_decisions",
     "c4_union_features",
+    "c4_union_pairs",
 ]
 
 
