@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from furrow.functions.scalars import haversine
+from furrow.operators.geometry import dealt
 from furrow.session import cut
 
 
 def _cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> DataFrame:
-    """A row for every cell that a closed box touches."""
+    """A row for every cell that a closed box touches; joins deal them."""
     lo = lambda v: F.floor(v / cell)
-    return df.withColumn("_cx", F.explode(F.sequence(lo(x0), lo(x1)))).withColumn("_cy", F.explode(F.sequence(lo(y0), lo(y1))))
+    return dealt(df.withColumn("_cx", F.explode(F.sequence(lo(x0), lo(x1)))).withColumn("_cy", F.explode(F.sequence(lo(y0), lo(y1)))))
 
 
 def box_pairs(a: DataFrame, b: DataFrame, cell: int = 16, condition: Column | None = None) -> DataFrame:

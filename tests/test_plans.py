@@ -89,6 +89,7 @@ DEALT = [
     "c3_away_decisions",
     "c4_union_features",
     "c4_union_pairs",
+    "j18_match_other_years",
 ]
 
 
