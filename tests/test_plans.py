@@ -90,6 +90,7 @@ DEALT = [
     "c4_union_features",
     "c4_union_pairs",
     "j18_match_other_years",
+    "g12_difference_area",
 ]
 
 
