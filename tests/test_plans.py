@@ -91,6 +91,7 @@ DEALT = [
     "c4_union_pairs",
     "j18_match_other_years",
     "g12_difference_area",
+    "g28_tree_fraction",
 ]
 
 
