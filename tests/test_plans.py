@@ -92,6 +92,7 @@ DEALT = [
     "j18_match_other_years",
     "g12_difference_area",
     "g28_tree_fraction",
+    "j11_point_in_rings",
 ]
 
 
