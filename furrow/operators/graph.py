@@ -23,6 +23,19 @@ def _digest(edges: DataFrame) -> tuple[int, object, int]:
 HOT = 1000
 
 
+#: Rows from which on a table's joins deal them.
+MANY = 200_000
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """Joins deal the rows by their keys where there are many.
+
+    A checkpoint keeps the size that Spark estimated before it, and for edges that come of explodes
+    that is far too low: they would be broadcast.
+    """
+    return df.hint("merge") if rows > MANY else df
+
+
 def hot_from(rows: int) -> int:
     return max(HOT, rows // 50_000)
 
@@ -36,7 +49,7 @@ def with_least(df: DataFrame, key: str, value: str, name: str, rows: int) -> Dat
     least = df.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("_n"))
     limit = hot_from(rows)
     hot = F.broadcast(least.where(F.col("_n") > limit).select(F.col(key).alias("_hot"), name))
-    cold = least.where(F.col("_n") <= limit).drop("_n")
+    cold = dealt(least.where(F.col("_n") <= limit).drop("_n"), rows)
     spread = df.join(hot, F.col(key) == F.col("_hot")).drop("_hot")
     rest = df.join(hot.select("_hot"), F.col(key) == F.col("_hot"), "left_anti").join(cold, key)
     return spread.unionByName(rest)
@@ -45,7 +58,7 @@ def with_least(df: DataFrame, key: str, value: str, name: str, rows: int) -> Dat
 def _least(edges: DataFrame, rows: int, hubs: bool) -> DataFrame:
     if hubs:
         return with_least(edges, "u", "v", "m", rows)
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+    return edges.join(dealt(edges.groupBy("u").agg(F.min("v").alias("m")), rows), "u")
 
 
 def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40) -> DataFrame:
