@@ -29,12 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each SimHash group.
 
-    Documents link at a Jaccard similarity of 0.8 or more of their sets of five-word shingles; null and
-    blank texts are one group. Of rows that repeat an id each group keeps its own, of those without an id
+    Documents link where the fingerprints of their three-word shingles differ in three bits or fewer, as in
+    op10; all such links are found, over the anchors. Null and blank texts are one group. Of rows that repeat an id each group keeps its own, of those without an id
     one per text stays, and of wholly equal rows one; an empty table gives no rows.
     """
     bounded_batches(spark)
-    return simhash.keep_one(docs, simhash.similar_groups(docs, shingle=5, similarity=0.8))
+    return simhash.keep_one(docs, simhash.near_duplicates(docs, groups=True))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

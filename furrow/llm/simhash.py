@@ -299,17 +299,18 @@ def links(prints: DataFrame, threshold: int = 3) -> DataFrame:
     )
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 3) -> DataFrame:
-    """One row per input row: id, fingerprint (signed long) and component_id.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 3, groups: bool = False) -> DataFrame:
+    """One row per input row: id, fingerprint (signed long) and component_id; with ``groups`` text_key and group too.
 
     component_id is the smallest id reachable over links of at most ``threshold`` differing bits.
     Exact copies share one fingerprint and so cost one row per fingerprint in every later step,
     however many they are. Null texts have fingerprint zero and link like any other; null ids keep
     a row, take part in the links and get the component's smallest id (null if it has none);
     repeated rows stay; an empty table gives no rows; other columns, whatever their names, are
-    left out.
+    left out. group is a number of the component's own (see ``similar_groups``).
     """
-    marked = cut(df.select(F.col(id_col).alias("_id"), fingerprint(text_col, shingle).alias("_print")))
+    keys = [text_key(text_col).alias("text_key")] if groups else []
+    marked = cut(df.select(F.col(id_col).alias("_id"), fingerprint(text_col, shingle).alias("_print"), *keys))
     prints = marked.groupBy("_print").agg(F.min("_id").alias("_least"))
     # Fingerprints whose rows all lack an id still join others: their node is below any id's place.
     rows = marked.count()
@@ -320,8 +321,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("fingerprint", "_least", F.coalesce("component", "node").alias("_part"))
     )
     # One row per fingerprint; a hot fingerprint's rows are split by adaptive execution.
-    by_print = with_least(named, "_part", "_least", "component_id", rows).select(F.col("fingerprint").alias("_print"), "component_id")
-    return marked.join(by_print, "_print").select(F.col("_id").alias(id_col), F.col("_print").alias("fingerprint"), "component_id")
+    by_print = with_least(named, "_part", "_least", "component_id", rows).select(F.col("fingerprint").alias("_print"), "component_id", F.col("_part").alias("group"))
+    also = ["text_key", "group"] if groups else []
+    return marked.join(by_print, "_print").select(F.col("_id").alias(id_col), F.col("_print").alias("fingerprint"), "component_id", *also)
 
 
 def as_hex(print_col: Column | str) -> Column:

@@ -307,3 +307,24 @@ def test_a_crowded_band_is_dealt_out_without_loss(spark, monkeypatch):
     for most in (20_000, 13):
         monkeypatch.setattr(simhash, "RUN_ROWS", most)
         assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == dict(enumerate(least))
+
+
+def test_the_pipeline_drops_what_links_by_fingerprint(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words).upper(), " ".join(words[::-1]), None, " ", " ".join([*words[:399], "other"])]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    prints = [simhash.simhash((t or "").lower().encode().split(), 3) for t in texts]
+    far = lambda i, j: bin(prints[i] ^ prints[j]).count("1")
+    want = [i for i in range(len(texts)) if not any(far(i, j) <= 3 for j in range(i))]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+    linked = spark.createDataFrame([(i, f"a{i} b c d e") for i in range(300)], "doc_id long, text string")
+    marks = [simhash.simhash(f"a{i} b c d e".encode().split(), 3) for i in range(300)]
+    part = list(range(300))
+    for _ in range(300):
+        new = [min(part[j] for j in range(300) if bin(marks[i] ^ marks[j]).count("1") <= 3) for i in range(300)]
+        if new == part:
+            break
+        part = new
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, linked, "").collect()) == sorted(set(part))
