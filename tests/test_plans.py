@@ -93,6 +93,7 @@ DEALT = [
     "g12_difference_area",
     "g28_tree_fraction",
     "j11_point_in_rings",
+    "j20_nearest_with_upgrade",
 ]
 
 
