@@ -94,6 +94,7 @@ DEALT = [
     "g28_tree_fraction",
     "j11_point_in_rings",
     "j20_nearest_with_upgrade",
+    "c20_cross_year_repair",
 ]
 
 
