@@ -220,8 +220,8 @@ def _continuity(t):
     from furrow.operators.metrics import contrast
 
     own = t.px.select("poly_id", "px", "py")
-    rim = own.join(G.eroded(own), ["poly_id", "px", "py"], "left_anti").withColumn("inside", F.lit(True))
-    ring = G.dilated(own).join(own, ["poly_id", "px", "py"], "left_anti").withColumn("inside", F.lit(False))
+    rim = G.with_core(own).where("not core").drop("core").withColumn("inside", F.lit(True))
+    ring = G.ring(own).withColumn("inside", F.lit(False))
     v = F.pmod(F.col("px") * 31 + F.col("py") * 17, F.lit(23)).cast("double")
     side = lambda f, c: f(F.when(c, v))
     i = F.col("inside")

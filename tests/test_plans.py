@@ -95,6 +95,7 @@ DEALT = [
     "j11_point_in_rings",
     "j20_nearest_with_upgrade",
     "c20_cross_year_repair",
+    "c19_cut_continuity",
 ]
 
 
