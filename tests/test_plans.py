@@ -96,6 +96,7 @@ DEALT = [
     "j20_nearest_with_upgrade",
     "c20_cross_year_repair",
     "c19_cut_continuity",
+    "c10_stability_report",
 ]
 
 
