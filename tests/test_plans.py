@@ -97,6 +97,7 @@ DEALT = [
     "c20_cross_year_repair",
     "c19_cut_continuity",
     "c10_stability_report",
+    "c12_consensus",
 ]
 
 
