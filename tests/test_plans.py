@@ -98,6 +98,7 @@ DEALT = [
     "c19_cut_continuity",
     "c10_stability_report",
     "c12_consensus",
+    "c11_rotation_plausibility",
 ]
 
 
