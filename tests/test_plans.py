@@ -99,6 +99,7 @@ DEALT = [
     "c10_stability_report",
     "c12_consensus",
     "c11_rotation_plausibility",
+    "c37_flat_attribute_table",
 ]
 
 
