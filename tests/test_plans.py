@@ -100,6 +100,7 @@ DEALT = [
     "c12_consensus",
     "c11_rotation_plausibility",
     "c37_flat_attribute_table",
+    "c8_constrained_identity",
 ]
 
 
