@@ -101,6 +101,7 @@ DEALT = [
     "c11_rotation_plausibility",
     "c37_flat_attribute_table",
     "c8_constrained_identity",
+    "c9_stability",
 ]
 
 
