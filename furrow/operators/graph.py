@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from furrow.session import cut
 
@@ -58,7 +59,7 @@ def with_least(df: DataFrame, key: str, value: str, name: str, rows: int) -> Dat
 def _least(edges: DataFrame, rows: int, hubs: bool) -> DataFrame:
     if hubs:
         return with_least(edges, "u", "v", "m", rows)
-    return edges.join(dealt(edges.groupBy("u").agg(F.min("v").alias("m")), rows), "u")
+    return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
 
 
 def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40) -> DataFrame:
@@ -81,17 +82,14 @@ def components(edges: DataFrame, rows: int | None = None, max_rounds: int = 40)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        # Hubs are met rarely; the plain join's plan is much smaller. No degree grows in between.
+        # Hubs are met rarely; without them one shuffle brings a node's edges together, and nothing is joined.
+        # No degree grows in between.
         hubs = before[2] > hot_from(before[0])
         known = _least(_both(now), before[0], hubs)
-        large = known.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        tied = _least(cut(large, before[0]) if hubs else large, before[0], hubs)
-        small = (
-            tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionAll(tied.where("v = m").select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
+        large = known.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        tied = _least(cut(large.distinct(), before[0]) if hubs else large.repartition("u").distinct(), before[0], hubs)
+        # One projection, not a union of two filters, for which the large stars would be made twice.
+        small = tied.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         now = cut(small, before[0])
         same, before = before, _digest(now)
         if same == before:

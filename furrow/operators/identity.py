@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from furrow.operators.geometry import dealt
 from furrow.operators.graph import components
 
 
@@ -21,14 +22,19 @@ def stability(pairs: DataFrame, polygons: DataFrame, years: list[int], iou_hit:
     ``pairs`` has a, yr, b, other, iou for overlapping polygons of different years; polygons are
     joined to identities over hits by connected components.
     """
-    per = pairs.groupBy("a", "yr", "other").agg(F.max("iou").alias("iou"))
-    others = polygons.select(F.col("poly_id").alias("a"), "yr").withColumn("other", F.explode(F.array(*(F.lit(y) for y in years)))).where("other <> yr")
-    full = others.join(per, ["a", "yr", "other"], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
-    hit = F.col("iou") >= iou_hit
-    stats = full.groupBy("a", "yr").agg(F.count_if(hit).alias("n_years"), F.median("iou").alias("median_iou"), F.avg(F.when(hit, F.col("iou"))).alias("mean_iou_hits"))
+    # A polygon's best IoU of every year in one row: as many rows as polygons are joined, not one for each other year.
+    best = pairs.groupBy("a", "yr").agg(*(F.max(F.when(F.col("other") == y, F.col("iou"))).alias(f"_{y}") for y in years))
+    full = dealt(polygons.select(F.col("poly_id").alias("a"), "yr").where("yr is not null").distinct()).join(dealt(best), ["a", "yr"], "left")
+    ious = F.array_compact(F.array(*(F.when(F.col("yr") != y, F.coalesce(f"_{y}", F.lit(0.0))) for y in years)))
+    n, hits = F.size("_ious"), F.filter("_ious", lambda v: v >= iou_hit)
+    middle = (F.get("_ious", F.floor((n - 1) / 2).cast("int")) + F.get("_ious", F.floor(n / 2).cast("int"))) / 2
+    stats = full.withColumn("_ious", F.array_sort(ious)).where(n > 0).select(
+        "a", "yr", F.size(hits).cast("long").alias("n_years"), middle.alias("median_iou"),
+        F.try_divide(F.aggregate(hits, F.lit(0.0), lambda s, v: s + v), F.size(hits).cast("double")).alias("mean_iou_hits"),
+    )
     node = lambda k, y: F.col(k) * 10000 + F.col(y)
-    edges = pairs.where(hit).select(node("a", "yr").alias("src"), node("b", "other").alias("dst"))
-    named = components(edges)
+    edges = pairs.where(F.col("iou") >= iou_hit).select(node("a", "yr").alias("src"), node("b", "other").alias("dst"))
+    named = dealt(components(edges))
     return stats.withColumn("node", node("a", "yr")).join(named, "node", "left").select("a", "yr", "n_years", "median_iou", "mean_iou_hits", F.coalesce("component", "node").alias("paddock_id"))
 
 

@@ -93,6 +93,13 @@ def test_identity_over_years_and_unmatched_years_count_as_zero(spark):
     assert got[1, 2017].median_iou == 0.45 and got[2, 2018].n_years == 0 and got[2, 2018].mean_iou_hits is None
 
 
+def test_a_polygon_given_twice_matches_each_year_once(spark):
+    polygons = spark.createDataFrame([(1, 2017), (1, 2017), (1, 2018)], "poly_id long, yr int")
+    pairs = spark.createDataFrame([(1, 2017, 1, 2018, 0.9), (1, 2018, 1, 2017, 0.9)], "a long, yr int, b long, other int, iou double")
+    got = {(r.a, r.yr): (r.n_years, r.median_iou, r.mean_iou_hits) for r in I.stability(pairs, polygons, [2017, 2018, 2019]).collect()}
+    assert got == {(1, 2017): (1, 0.45, 0.9), (1, 2018): (1, 0.45, 0.9)}
+
+
 def test_constrained_groups_refuse_what_grows_too_far(spark):
     boxes = spark.createDataFrame([(i, 0, 8 * i, 0, 8 * i + 10, 10, 100) for i in range(4)], "id long, region int, x0 long, y0 long, x1 long, y1 long, area long")
     pairs = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.8), (2, 3, 0.7)], "a long, b long, iou double")

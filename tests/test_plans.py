@@ -13,6 +13,7 @@ from furrow.functions import indices as X
 from furrow.operators import geometry as G
 from furrow.operators import series as S
 from furrow.operators import spatial as J
+from furrow.operators.graph import _least
 from furrow.plans.catalog import Tables
 from furrow.plans.registry import QUERIES
 from furrow.sources.files import within_bbox
@@ -83,6 +84,11 @@ def test_hot_paths_hold_no_python(spark, name):
     assert not re.search("Python|Pandas|Arrow", plan(QUERIES[name](spark, SF)))
 
 
+def test_rounds_of_components_without_hubs_join_nothing(spark):
+    edges = spark.createDataFrame([(3, 1), (3, 2)], "u long, v long")
+    assert "Join" not in plan(_least(edges, 2, False))
+
+
 #: Queries over exploded pixels, cells or years, whose estimated size is that of the rows before.
 DEALT = [
     "c18_seam_audit",
