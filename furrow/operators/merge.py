@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from furrow.operators import geometry as G
 from furrow.operators.graph import components
+from furrow.session import cut
 
 CLASSES = ("Canola", "Cereal", "Legume")
 
@@ -164,16 +165,21 @@ def clipped(poly: DataFrame, px: DataFrame, max_frac: float = 0.5, size: int = 2
 
 
 def overlap_groups(poly: DataFrame, px: DataFrame, more_than_px: int = 1, max_ha: float = 300) -> DataFrame:
-    """Polygons after folding every group of overlapping ones into its largest, which takes the union's area."""
-    own = px.select("poly_id", "px", "py")
-    pairs = G.overlaps(own, own, "poly_id", "poly_id", F.col("a_poly_id") < F.col("b_poly_id")).where(F.col("inter_px") > more_than_px)
-    named = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    """Polygons after folding every group of overlapping ones into its largest, which takes the union's area.
+
+    Pixels are read once: pairs and unions are counted on the pieces that the polygons cut each other into.
+    """
+    pieces = cut(G.stacks(px).withColumn("piece", F.monotonically_increasing_id()))
+    twos = pieces.where("size(keys) > 1").select("n", "keys", F.explode("keys").alias("a")).select("n", "a", F.explode(F.filter("keys", lambda k: k > F.col("a"))).alias("b"))
+    pairs = twos.groupBy("a", "b").agg(F.sum("n").alias("inter_px")).where(F.col("inter_px") > more_than_px)
+    named = G.dealt(components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     rows = poly.join(named, F.col("poly_id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "poly_id"))
     largest = Window.partitionBy("group").orderBy(F.col("area_ha").desc(), "poly_id")
     ranked = rows.withColumn("_rn", F.row_number().over(largest))
     folded = ranked.groupBy("group").agg(F.count("*").alias("merge_n"), F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("_rn") > 1, F.col("poly_id"))))).alias("merged_from"))
-    ground = G.union(px.join(rows.select("poly_id", "group"), "poly_id"), "group").groupBy("group").agg((F.count("*") * G.HA_PER_PIXEL).alias("union_ha"))
-    out = ranked.where("_rn = 1").join(folded, "group").join(ground, "group")
+    held = G.dealt(pieces.select("piece", "n", F.explode("keys").alias("node"))).join(named, "node", "left").select("piece", "n", F.coalesce("component", "node").alias("group"))
+    ground = held.distinct().groupBy("group").agg((F.sum("n") * G.HA_PER_PIXEL).alias("union_ha"))
+    out = ranked.where("_rn = 1").join(G.dealt(folded), "group").join(G.dealt(ground), "group")
     blob = (F.col("merge_n") > 1) & (F.col("union_ha") > max_ha)
     return out.select("poly_id", "merge_n", "merged_from", F.col("union_ha").alias("area_ha"), F.when(~blob, F.col("pred")).alias("pred"), F.when(blob, F.lit("unsegmented_blob")).otherwise(F.col("abstain_reason")).alias("abstain_reason"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -63,6 +64,24 @@ def test_overlap_groups_leave_no_overlap_and_lose_no_ground(spark):
     assert abs(sum(r.area_ha for r in out.collect()) - ground * G.HA_PER_PIXEL) < 1e-6
 
 
+def test_pieces_of_overlapping_polygons_hold_every_pixel_once(spark):
+    rng = random.Random(5)
+    edge = G.BLOCK
+    boxes = []
+    for i in range(40):
+        x, y = rng.choice([-edge, -9, 0, edge - 6]) + rng.randint(0, 12), rng.randint(-12, 12)
+        boxes.append((i % 37, x, y, x + rng.randint(1, 9), y + rng.randint(1, 9)))
+    px = G.pixels(spark.createDataFrame(boxes, "poly_id long, x0 long, y0 long, x1 long, y1 long"))
+    here: dict = {}
+    for r in px.collect():
+        here.setdefault((r.px, r.py), set()).add(r.poly_id)
+    want = Counter(tuple(sorted(v)) for v in here.values())
+    got = Counter()
+    for r in G.stacks(px).collect():
+        got[tuple(r["keys"])] += r["n"]
+    assert got == want and max(map(len, want)) > 2
+
+
 def test_groups_over_the_largest_area_abstain(spark):
     df = field_map(spark, [(1, 0, 0, 0, 0, 10, 10, "Canola", ""), (2, 0, 0, 5, 0, 15, 10, "Cereal", ""), (3, 0, 0, 40, 40, 44, 44, "Cereal", "")])
     got = {r.poly_id: (r.merge_n, r.merged_from, r.pred, r.abstain_reason) for r in M.overlap_groups(df, G.pixels(df), max_ha=1.2).collect()}

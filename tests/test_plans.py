@@ -89,6 +89,11 @@ def test_rounds_of_components_without_hubs_join_nothing(spark):
     assert "Join" not in plan(_least(edges, 2, False))
 
 
+def test_overlap_groups_read_pixels_once(spark):
+    # The pieces of polygons are kept; what comes after them makes no pixels again.
+    assert "sequence(" not in plan(QUERIES["c6_overlap_groups"](spark, SF))
+
+
 #: Queries over exploded pixels, cells or years, whose estimated size is that of the rows before.
 DEALT = [
     "c18_seam_audit",
