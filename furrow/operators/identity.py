@@ -96,10 +96,11 @@ def consensus(members: DataFrame, years: list[int], least_area: float = 0.0) ->
         *(pick("crop", y).alias(f"crop_{y}") for y in years), *(pick("conf", y).alias(f"conf_{y}") for y in years),
         F.count("*").alias("n_class_years"), F.count_distinct("crop").alias("n_classes"), F.count_if(F.col("crop") == "Canola").alias("canola_years"),
         F.concat_ws("-", *(F.coalesce(F.substring(pick("crop", y), 1, 2), F.lit(".")) for y in years)).alias("crop_seq"),
+        F.collect_list(F.struct("crop")).alias("_crops"),
     )
-    modal = won.groupBy("paddock_id", "crop").agg(F.count("*").alias("n"))
-    top = Window.partitionBy("paddock_id").orderBy(F.col("n").desc(), "crop")
-    return rep.join(wide, "paddock_id").join(modal.withColumn("_rn", F.row_number().over(top)).where("_rn = 1").select("paddock_id", F.col("crop").alias("modal_crop")), "paddock_id")
+    # The crop of most years, the first by name of ties: an identity has a few years, so its own row says it.
+    often = F.transform(F.array_distinct("_crops"), lambda c: F.struct((-F.size(F.filter("_crops", lambda x: x.eqNullSafe(c)))).alias("n"), c.alias("c")))
+    return dealt(rep).join(dealt(wide.withColumn("modal_crop", F.array_min(often)["c"]["crop"]).drop("_crops")), "paddock_id")
 
 
 def share_of_rows(cond: Column) -> Column:

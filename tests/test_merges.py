@@ -119,6 +119,12 @@ def test_a_polygon_given_twice_matches_each_year_once(spark):
     assert got == {(1, 2017): (1, 0.45, 0.9), (1, 2018): (1, 0.45, 0.9)}
 
 
+def test_the_crop_of_most_years_is_the_first_by_name_of_ties(spark):
+    rows = [(1, 2017, 5, 1.0, "Legume", 0.5), (1, 2018, 5, 1.0, "Canola", 0.5), (2, 2017, 6, 1.0, "Canola", 0.5), (2, 2018, 6, 1.0, "Legume", 0.5), (2, 2019, 6, 1.0, "Legume", 0.5)]
+    members = spark.createDataFrame(rows, "paddock_id long, yr int, id long, area_ha double, crop string, conf double")
+    assert {r.paddock_id: r.modal_crop for r in I.consensus(members, [2017, 2018, 2019]).collect()} == {1: "Canola", 2: "Legume"}
+
+
 def test_constrained_groups_refuse_what_grows_too_far(spark):
     boxes = spark.createDataFrame([(i, 0, 8 * i, 0, 8 * i + 10, 10, 100) for i in range(4)], "id long, region int, x0 long, y0 long, x1 long, y1 long, area long")
     pairs = spark.createDataFrame([(0, 1, 0.9), (1, 2, 0.8), (2, 3, 0.7)], "a long, b long, iou double")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import indices as X
 from furrow.operators import geometry as G
+from furrow.operators import identity as I
 from furrow.operators import series as S
 from furrow.operators import spatial as J
 from furrow.operators.graph import _least
@@ -89,6 +90,12 @@ def test_rounds_of_components_without_hubs_join_nothing(spark):
     assert "Join" not in plan(_least(edges, 2, False))
 
 
+def test_consensus_takes_one_join_of_identities(spark):
+    members = spark.createDataFrame([], "paddock_id long, yr int, id long, area_ha double, crop string, conf double")
+    text = plan(I.consensus(members, [2017, 2018]))
+    assert len(set(re.findall(r"\((\d+)\) \w*Join", text))) == 1
+
+
 def test_overlap_groups_read_pixels_once(spark):
     # The pieces of polygons are kept; what comes after them makes no pixels again.
     assert "sequence(" not in plan(QUERIES["c6_overlap_groups"](spark, SF))
