@@ -113,8 +113,8 @@ def away_decisions(poly: DataFrame, px: DataFrame, cover_min: float = 0.5, dup_f
     )
 
 
-def union_merges(poly: DataFrame, px: DataFrame, ovl_min: float = 0.5, max_ha: float = 300, max_comp: float = 8, conflict_pmin: float = 0.15, max_n: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Pairs of polygons of different tiles with a decision each, and the merged features of accepted components."""
+def union_pairs(poly: DataFrame, px: DataFrame, ovl_min: float = 0.5, max_ha: float = 300, max_comp: float = 8, conflict_pmin: float = 0.15) -> DataFrame:
+    """Pairs of polygons of different tiles with a decision each."""
     rows = with_home(poly).where(~F.col("away"))
     own = px.join(rows.select("poly_id"), "poly_id", "left_semi")
     a, b = _attributes(rows, "a"), _attributes(rows, "b")
@@ -131,8 +131,14 @@ def union_merges(poly: DataFrame, px: DataFrame, ovl_min: float = 0.5, max_ha: f
         .when(why.isin(*_MERGEABLE), _said("merge", why))
         .otherwise(_said("leave", why))
     )
-    pairs = met.withColumn("_d", decision).select("a", "b", "inter_px", small.alias("ovl_small"), "union_comp", F.col("winner").alias("merged_class"), F.col("pmin").alias("pmin_winner"), F.col("_d.d").alias("decision"), F.col("_d.r").alias("reason"))
-    named = components(pairs.where("decision = 'merge'").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return met.withColumn("_d", decision).select("a", "b", "inter_px", small.alias("ovl_small"), "union_comp", F.col("winner").alias("merged_class"), F.col("pmin").alias("pmin_winner"), F.col("_d.d").alias("decision"), F.col("_d.r").alias("reason"))
+
+
+def union_merges(poly: DataFrame, px: DataFrame, ovl_min: float = 0.5, max_ha: float = 300, max_comp: float = 8, conflict_pmin: float = 0.15, max_n: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``union_pairs``, and the merged features of accepted components."""
+    rows = with_home(poly).where(~F.col("away"))
+    pairs = union_pairs(poly, px, ovl_min, max_ha, max_comp, conflict_pmin)
+    named = G.dealt(components(pairs.where("decision = 'merge'").select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     members = named.join(rows, F.col("node") == F.col("poly_id"))
     area = F.col("area_ha")
     summed = members.groupBy("component").agg(

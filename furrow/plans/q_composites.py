@@ -46,7 +46,7 @@ _UNION = f"""h as ({_HOME}), m as ({_MET.format(cond=_KEPT)}), w as (select *, {
   p as (select *, i/cast(least(aa,ab) as double) as ovl, case when i/cast(least(aa,ab) as double)<0.2 then 'leave' when a_reason<>'' or b_reason<>'' then 'leave' when comp>8 then 'leave' when why in ('same_class','class_conflict_reconciled') then 'merge' else 'leave' end as decision,
     case when i/cast(least(aa,ab) as double)<0.2 then 'sliver_below_ovl_min' when a_reason<>'' or b_reason<>'' then 'not_both_classified' when comp>8 then 'union_over_max_compactness' else why end as reason from w)"""
 query("C4", "union_pairs", f"with {_UNION} select a, b, i as inter_px, round(ovl,6) as ovl_small, round(comp,6) as union_comp, winner as merged_class, round(pmin,6) as pmin_winner, decision, reason from p")(
-    lambda t: M.union_merges(t.poly, t.px, ovl_min=0.2)[0].select("a", "b", "inter_px", r6("ovl_small").alias("ovl_small"), r6("union_comp").alias("union_comp"), "merged_class", r6("pmin_winner").alias("pmin_winner"), "decision", "reason"))
+    lambda t: M.union_pairs(t.poly, t.px, ovl_min=0.2).select("a", "b", "inter_px", r6("ovl_small").alias("ovl_small"), r6("union_comp").alias("union_comp"), "merged_class", r6("pmin_winner").alias("pmin_winner"), "decision", "reason"))
 
 _CC = "e as (select a, b from {p} union all select b, a from {p}), r as (select a as id, a as c from e union select e.b, r.c from r join e on r.id=e.a where r.c<e.b), l as (select id, min(c) as c from r group by 1)"
 query("C4", "union_features", f"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from furrow.functions import indices as X
 from furrow.operators import geometry as G
 from furrow.operators import identity as I
+from furrow.operators import merge as M
 from furrow.operators import series as S
 from furrow.operators import spatial as J
 from furrow.operators.graph import _least
@@ -96,6 +97,11 @@ def test_consensus_takes_one_join_of_identities(spark):
     assert len(set(re.findall(r"\((\d+)\) \w*Join", text))) == 1
 
 
+def test_pairs_to_unite_need_no_components(spark, monkeypatch):
+    monkeypatch.setattr(M, "components", lambda edges: pytest.fail("components of pairs that nobody asked to unite"))
+    assert "decision" in QUERIES["c4_union_pairs"](spark, SF).columns
+
+
 def test_overlap_groups_read_pixels_once(spark):
     # The pieces of polygons are kept; what comes after them makes no pixels again.
     assert "sequence(" not in plan(QUERIES["c6_overlap_groups"](spark, SF))
